@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filters
+from . import chat_format, html_extraction, mixing, token_output, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html_extraction.op1_html_extraction,
         "op4_url_filters": url_filters.op4_url_filters,
+        "op8_token_output": token_output.op8_token_output,
         "op9_mixing": mixing.op9_mixing,
+        "op10_chat_format": chat_format.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.SQL, "op9_mixing": mixing.SQL}
+    return {"op4_url_filters": url_filters.SQL, "op9_mixing": mixing.SQL, "op10_chat_format": chat_format.SQL}
