@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extraction, mixing, token_output, url_filters
+from . import chat_format, fingerprints, html_extraction, mixing, sentencepiece_codec, token_output, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": html_extraction.op1_html_extraction,
+        "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
         "op4_url_filters": url_filters.op4_url_filters,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_token_output": token_output.op8_token_output,
         "op9_mixing": mixing.op9_mixing,
         "op10_chat_format": chat_format.op10_chat_format,
