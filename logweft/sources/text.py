@@ -129,9 +129,8 @@ def read_separated(spark: SparkSession, paths: list[str], sep: str) -> DataFrame
         if not head:
             continue
         names = next(iter(csv.reader([head[0][RAW]], delimiter=sep)))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         body = one.filter(F.col(LINE) > head[0][LINE])
-        row = F.from_csv(RAW, schema.simpleString().removeprefix("struct<").removesuffix(">"), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}) if all(re.fullmatch(r"\w+", n) for n in names) else F.from_csv(RAW, ", ".join(f"`{n}` string" for n in names), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
+        row = F.from_csv(RAW, ", ".join(f"`{n}` string" for n in names), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
         one = body.select(LINE, row.alias("r")).select(LINE, *[F.col(f"r.`{n}`").alias(n) for n in names])
         df = one if df is None else df.unionByName(one, allowMissingColumns=True)
     return coerced(df, [c for c in df.columns if c != LINE]) if df is not None else spark.createDataFrame([], f"{LINE} long")
