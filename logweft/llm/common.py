@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with texts of a few kB a batch then holds a few MB.
 BATCH_ROWS = 1000
@@ -53,6 +55,23 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone; it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dealt_by_id(docs: DataFrame, parts: int) -> DataFrame:
+    """docs with __part: consecutive ranges of doc_id with about as many rows each, null ids in the first.
+
+    The bounds come from the ids alone, so no costly frame is computed twice to sample it."""
+    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    if not bounds:
+        return docs.withColumn("__part", F.lit(0))
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id")))
+    return docs.withColumn("__part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

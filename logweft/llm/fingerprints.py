@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, small_batches, table, text_bytes
+from .common import dealt_by_id, mix, partitions, small_batches, table, text_bytes
 
 #: RUN is a power of two.
 WINDOW, RUN, POPULAR, SHORT = 16, 16, 4, 4
@@ -192,12 +192,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     part come guards: copies of the first row of the next part. Returns the frame and the number of parts."""
     spark = docs.sparkSession
     parts = min(MAX_PARTS, partitions(spark))
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id")))
-        docs = docs.withColumn("__part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    else:
-        docs = docs.withColumn("__part", F.lit(0))
+    docs = dealt_by_id(docs, parts)
     # One id a part: at most MAX_PARTS rows.
     firsts = sorted((r[0], r[1]) for r in docs.groupBy("__part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("__part", "m.doc_id").collect())
     heads = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]

@@ -16,30 +16,42 @@ the sample's ids. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, small_batches, table
+from .common import cut, dealt_by_id, partitions, small_batches, table
 
 #: Documents to train the dictionary on, the part of a sampled text that is used, and the dictionary's bytes.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1000, 50_000, 64 * 1024
 #: Frames of a shard, in bytes; files; words whose ids a worker remembers.
-SHARD_BYTES, MAX_FILES, REMEMBER = 4 << 20, 4096, 400_000
+SHARD_BYTES, MAX_FILES, REMEMBER = 4 << 20, 4096, 200_000
 END_ID, LEVEL, MAGIC = 1, 3, b"TIDS"
 _HEAD = struct.Struct("<4sBBIQ32s")
 _WORD = re.compile("[^ \t-\r]+")
+# The tokenizer's pattern, and the characters by which its byte level writes bytes.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+# Letters that lower-case one to one and compose with nothing, digits, and ASCII signs but the apostrophe and <, which starts a special token.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,./:;=>?@\\[\\\\\\]^_`{|}~-]+")
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """Ids of texts as bytes of `width` bytes an id. Tokens never span ASCII white space, so words are encoded once."""
+    """Ids of texts as bytes of `width` bytes an id.
+
+    Tokens never span ASCII white space, so words are encoded alone, and remembered. A word of plain Latin letters and
+    signs is cut into runs as the tokenizer's own pattern does, and only the runs' merges are asked for; every other
+    word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,20 +59,39 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.width = 2 if self.t.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        setup = json.loads(self.t.to_str())
+        # The short way holds for this kind of tokenizer only; its parts are compared with what it was written for.
+        pre = setup.get("pre_tokenizer") or {}
+        self.plain = _PLAIN if setup["model"]["type"] == "BPE" and [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"].get("Regex") == _PATTERN and [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
+
+    def _run(self, run: str) -> bytes:
+        ids = [x.id for x in self.t.model.tokenize("".join(map(_BYTE_CHARS.__getitem__, run.encode())))]
+        found = np.array(ids, dtype=self.kind).tobytes()
+        if len(self.runs) < REMEMBER:
+            self.runs[run] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if self.plain and self.plain.fullmatch(word):
+            runs = self.runs
+            found = b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(word.lower())])
+        else:
+            found = np.array(self.t.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        if len(self.words) < REMEMBER:
+            self.words[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_WORD.findall(t) for t in texts]
-        out, known = [], self.known
-        for ws in words:
-            if new := [w for w in set(ws) if w not in known]:
-                if len(known) + len(new) > REMEMBER:
-                    known.clear()
-                    new = list(set(ws))
-                for w, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype=self.kind).tobytes()
-            out.append(b"".join(map(known.__getitem__, ws)))
-        return out
+        known, word = self.words.get, self._word
+        return [b"".join([known(w) or word(w) for w in _WORD.findall(t)]) for t in texts]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process: what it remembers serves all its tasks."""
+    return Encoder(path)
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -128,42 +159,45 @@ def sampled(docs: DataFrame, n: int = SAMPLE) -> list[str]:
 def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, bytes, str]:
     """docs (doc_id, text) -> the written shards (file, shard, n_docs, n_tokens, data), the dictionary, the path."""
     spark = docs.sparkSession
-    small_batches(spark)
-    encoder = Encoder(tokenizer)
-    end, width = np.array([end_id], dtype=encoder.kind).tobytes(), encoder.width
-    dictionary = train([x + end for x in encoder.encode(sampled(docs))])
+    small_batches(spark, 500)
+    coder = encoder(tokenizer)
+    end, width = np.array([end_id], dtype=coder.kind).tobytes(), coder.width
+    dictionary = train([x + end for x in coder.encode(sampled(docs))])
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
-            coded = [x + end for x in encoder.encode(batch.column(1).fill_null("").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in coded], pa.int64()), pa.array([writer.compress(x) for x in coded], pa.binary())], ["doc_id", "n", "frame"])
+            coded = [x + end for x in coder.encode(batch.column(2).fill_null("").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) // width for x in coded], pa.int64()), pa.array([writer.compress(x) for x in coded], pa.binary())], ["file", "doc_id", "n", "frame"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, shard, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        now, shard, before, held, size = None, 0, 0, [], 0
 
         def out() -> pa.RecordBatch:
             n = sum(d[1] for d in held)
-            row = [[file], [shard], [len(held)], [n], [write_shard(width, before, dictionary, held)]]
+            row = [[now], [shard], [len(held)], [n], [write_shard(width, before, dictionary, held)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "shard", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
-            for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, *doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != now or size >= SHARD_BYTES:
+                    if held:
+                        yield out()
+                    before, shard = (before + sum(d[1] for d in held), shard + 1) if file == now else (0, 0)
+                    now, held, size = file, [], 0
                 held.append(doc)
                 size += len(doc[2])
-                if size >= SHARD_BYTES:
-                    yield out()
-                    before, shard, held, size = before + sum(d[1] for d in held), shard + 1, [], 0
         if held:
             yield out()
 
-    frames = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(compress, "doc_id long, n long, frame binary")
     files = min(MAX_FILES, partitions(spark))
-    # n and frame after the id: equal ids stay in one file, in a fixed order.
-    ordered = frames.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
+    parts = dealt_by_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), files)
+    frames = parts.select("__part", "doc_id", "text").mapInArrow(compress, "file int, doc_id long, n long, frame binary")
+    # n and frame after the id: equal ids have a fixed order.
+    ordered = frames.repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
     shards, path = cut(ordered.mapInArrow(collect, "file int, shard int, n_docs long, n_tokens long, data binary"), "token-ids")
     return shards, dictionary, path
 
