@@ -3,7 +3,8 @@
 Two sets can reach the similarity only if they share an element among the first ones of both, in any common order.
 The order here puts common shingles last. Documents whose first elements and size are the same form one group; groups
 that share an element become pairs if their sizes and the places of the element allow the similarity. Pairs are
-expanded to their members (one for each distinct set), and verified on whole sets.
+expanded to their members (one for each distinct set), those whose sketches differ in more bits than the similarity
+allows sets to differ in elements are dropped, and the others are verified on whole sets.
 
 The result is the components of the links, so pairs are verified in two rounds: first every group with the next one of
 each shared element, which links most of what belongs together; then all pairs that are still in different components.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix, partitions, shingle_sets, small_batches, table
+from .common import cut, drop, mix, partitions, release, shingle_sets, small_batches, table
 from .components import components
 
 #: Words of a shingle, and the similarity in per cent.
@@ -34,6 +35,8 @@ WIDTH, PERCENT = 5, 75
 BLOCK, LOCAL, HEAVY = 2_000_000, 3, 1 << 17
 #: Rows of prefix elements that a task holds before it deals them out, and parts of the hash range.
 FLUSH, PARTS = 400_000, 4096
+#: Whole numbers of a set's sketch: 64 bits each, every element turns one over. Ids that are sent to all tasks at most.
+SKETCH, SENT = 16, 300_000
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -74,6 +77,12 @@ def signature(s: np.ndarray) -> int:
     return int(mix(x)[0] >> np.uint64(1))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bits that the set's elements turn over: two sets differ in at least as many elements as their sketches in bits."""
+    bits = np.bincount((s >> np.uint64(9) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
     """docs (doc_id, text) -> rows of two kinds: documents (doc_id, n, class, grp), and elements of prefixes that two or
     more groups share (element, grp, n, place)."""
@@ -100,7 +109,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             return _rows(which.astype(np.int32), blobs)
 
         for batch in batches:
-            ids, ns, classes, groups = [], [], [], []
+            ids, ns, classes, groups, sketches = [], [], [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), WIDTH), strict=True):
                 n = len(s)
                 ids.append(doc)
@@ -108,7 +117,9 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
                 if not n:
                     classes.append(None)
                     groups.append(None)
+                    sketches.append(np.zeros(SKETCH, np.int64))
                     continue
+                sketches.append(sketch(s))
                 whole = signature(s)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -121,7 +132,11 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
                 groups.append(group)
                 held.append((first, group, n))
                 size += len(first)
-            rows = np.rec.fromarrays([np.array([x or 0 for x in ids], np.int64), np.array([x is not None for x in ids]), np.array(ns, np.int64), np.array([-1 if x is None else x for x in classes], np.int64), np.array([-1 if x is None else x for x in groups], np.int64)], dtype=_DOC)
+            rows = np.zeros(len(ids), _DOC)
+            rows["doc"], rows["known"], rows["n"] = [x or 0 for x in ids], [x is not None for x in ids], ns
+            rows["class"], rows["group"] = [-1 if x is None else x for x in classes], [-1 if x is None else x for x in groups]
+            if len(ids):
+                rows["sketch"] = np.array(sketches)
             if len(rows):
                 yield _rows(np.array([-1 - int(rows["doc"][0]) % parts], np.int32), [rows.tobytes()])
             if size >= FLUSH:
@@ -147,7 +162,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             shared_[:-1] |= same
             rows = rows[shared_]
             nothing = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, pa.array(rows["n"].astype(np.int64)), nothing, pa.array(rows["g"]), pa.array(rows["e"].view(np.int64)), pa.array(rows["p"].astype(np.int32))], _NAMES)
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(rows["n"].astype(np.int64)), nothing, pa.array(rows["g"]), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(rows["e"].view(np.int64)), pa.array(rows["p"].astype(np.int32))], _NAMES)
 
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -155,7 +170,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
                     d = np.frombuffer(blob, _DOC)
                     has = d["class"] >= 0
                     empty = pa.nulls(len(d), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=~d["known"]), pa.array(d["n"]), pa.array(d["class"], mask=~has), pa.array(d["group"], mask=~has), empty, pa.nulls(len(d), pa.int32())], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=~d["known"]), pa.array(d["n"]), pa.array(d["class"], mask=~has), pa.array(d["group"], mask=~has), pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(d) + 1, SKETCH, dtype=np.int32)), pa.array(d["sketch"].ravel())), empty, pa.nulls(len(d), pa.int32())], _NAMES)
                     continue
                 if part != now and held:
                     yield from out()
@@ -166,11 +181,11 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             yield from out()
 
     dealt = docs.mapInArrow(elements, "part int, blob binary").repartition(min(parts, 2 * partitions(spark)), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "doc_id long, n long, class long, grp long, element long, place int")
+    return dealt.mapInArrow(meet, "doc_id long, n long, class long, grp long, sketch array<bigint>, element long, place int")
 
 
-_DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("class", "<i8"), ("group", "<i8")])
-_NAMES = ["doc_id", "n", "class", "grp", "element", "place"]
+_DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("class", "<i8"), ("group", "<i8"), ("sketch", "<i8", (SKETCH,))])
+_NAMES = ["doc_id", "n", "class", "grp", "sketch", "element", "place"]
 
 
 def _rows(parts: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
@@ -182,8 +197,12 @@ def _may_reach(n1: str, n2: str) -> str:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """pairs (a, b) of classes -> those whose sets reach the similarity. members (class, doc_id): a document of each."""
+    """pairs (a, b) of classes -> those whose sets reach the similarity. members (class, doc_id, n, sketch): a document of each."""
     spark = docs.sparkSession
+    of = lambda x: members.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    unlike = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    near = (100 + PERCENT) * unlike <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+    pairs, pairs_path = cut(pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b"), "ngram-near")
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = members.join(needed, "class", "left_semi")
 
@@ -194,7 +213,10 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["class", "items"])
 
-    texts = docs.filter("doc_id IS NOT NULL").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    wanted, wanted_path = cut(chosen.select("doc_id").distinct(), "ngram-wanted")
+    if wanted.limit(SENT + 1).count() <= SENT:
+        wanted = F.broadcast(wanted)
+    texts = docs.filter("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select("text")
     # Repeated ids may bring other texts along; the class keeps only what is asked for, once.
     sets = texts.mapInArrow(run, "class long, items array<bigint>").join(needed, "class", "left_semi").dropDuplicates(["class"])
     sets, path = cut(sets, "ngram-sets")
@@ -202,7 +224,9 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame
     shared = F.size(F.array_intersect("x", "y"))
     links = both.filter(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
     links, _ = cut(links, "ngram-links")
-    drop(spark, path)
+    del sets, both
+    drop(spark, path, pairs_path, wanted_path)
+    release(spark)  # the shuffled sets
     return links
 
 
@@ -213,11 +237,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     heavy, counts = _common(docs)
     rows, rows_path = cut(_prefixes(docs, heavy, counts), "ngram-rows")
-    known = rows.filter("element IS NULL").select("doc_id", "n", "class", "grp")
+    release(spark)  # the shuffled elements
+    known = rows.filter("element IS NULL").select("doc_id", "n", "class", "grp", "sketch")
     # A class: documents with the same set. Its smallest id stands for it; the most common set has one row here too.
-    classes = known.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"))
+    classes = known.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes, classes_path = cut(classes, "ngram-classes")
-    members = classes.filter("doc_id IS NOT NULL").select("class", "doc_id")
+    members = classes.filter("doc_id IS NOT NULL").select("class", "doc_id", "n", "sketch")
     usable = classes.filter("doc_id IS NOT NULL").select("class", "grp", "n")
     shared = rows.filter("element IS NOT NULL").select("element", "grp", "n", "place")
 
