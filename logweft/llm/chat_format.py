@@ -102,11 +102,12 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
             raise ValueError("the parents form a cycle")
         rounds += 1
         above = reach.select(F.col("conv_id").alias("__c"), F.col("__id").alias("__i"), F.col("__up").alias("__u2"), F.col("__depth").alias("__d2"), F.col("__sum").alias("__s2"))
-        reach = kept(
-            reach.join(above, _key("conv_id", "__c") & (F.col("__up") == F.col("__i")), "left").select(
-                "conv_id", "__id", F.col("__u2").alias("__up"), "__score", (F.col("__depth") + F.coalesce("__d2", F.lit(0))).alias("__depth"), (F.col("__sum") + F.coalesce("__s2", F.lit(0.0))).alias("__sum"), "__first"
-            )
+        # Only messages that haven't reached their root go on, so one deep tree doesn't make work for all others.
+        climbing, arrived = reach.filter("__up IS NOT NULL"), reach.filter("__up IS NULL")
+        climbed = climbing.join(above, _key("conv_id", "__c") & (F.col("__up") == F.col("__i")), "left").select(
+            "conv_id", "__id", F.col("__u2").alias("__up"), "__score", (F.col("__depth") + F.coalesce("__d2", F.lit(0))).alias("__depth"), (F.col("__sum") + F.coalesce("__s2", F.lit(0.0))).alias("__sum"), "__first"
         )
+        reach = kept(arrived.select(*climbed.columns).union(climbed))
     parents = reach.filter("__first IS NOT NULL").select(F.col("conv_id").alias("__c"), F.col("__first").alias("__f")).distinct()
     leaves = reach.join(parents, _key("conv_id", "__c") & (F.col("__id") == F.col("__f")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("__sum"), F.desc("__depth"), F.asc("__id")))
