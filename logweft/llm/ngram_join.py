@@ -3,8 +3,9 @@
 Two sets can reach the similarity only if they share an element among the first ones of both, in any common order.
 The order here puts common shingles last. Documents whose first elements and size are the same form one group; groups
 that share an element become pairs if their sizes and the places of the element allow the similarity. Pairs are
-expanded to their members (one for each distinct set), those whose sketches differ in more bits than the similarity
-allows sets to differ in elements are dropped, and the others are verified on whole sets.
+expanded to their members (one for each distinct set), those whose sketches differ by more than the similarity allows
+sets to differ in elements are dropped, and the others are verified on whole sets. A sketch counts a set's elements in
+bins, one for every few elements, so it tells long sets apart as well as short ones.
 
 The result is the components of the links, so pairs are verified in two rounds: first every group with the next one of
 each shared element, which links most of what belongs together; then all pairs that are still in different components.
@@ -35,8 +36,8 @@ WIDTH, PERCENT = 5, 75
 BLOCK, LOCAL, HEAVY = 2_000_000, 3, 1 << 17
 #: Rows of prefix elements that a task holds before it deals them out, and parts of the hash range.
 FLUSH, PARTS = 400_000, 4096
-#: Whole numbers of a set's sketch: 64 bits each, every element turns one over. Ids that are sent to all tasks at most.
-SKETCH, SENT = 16, 300_000
+#: Elements for each bin of a set's sketch, and least bins. Ids that are sent to all tasks at most.
+PER_BIN, LEAST_BINS, SENT = 4, 128, 300_000
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -77,10 +78,22 @@ def signature(s: np.ndarray) -> int:
     return int(mix(x)[0] >> np.uint64(1))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Bits that the set's elements turn over: two sets differ in at least as many elements as their sketches in bits."""
-    bits = np.bincount((s >> np.uint64(9) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+def sketch(s: np.ndarray) -> bytes:
+    """Elements of each bin, modulo 256. The bins are a power of two, so that a longer sketch folds into a shorter one."""
+    if not len(s):
+        return b""
+    bins = max(LEAST_BINS, 1 << (len(s) // PER_BIN).bit_length())
+    return np.bincount((s >> np.uint64(9) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8).tobytes()
+
+
+def unlike(x: bytes, y: bytes) -> int:
+    """Elements that the sets of two sketches differ in at least."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    bins = min(len(u), len(v))
+    if not bins:
+        return 0
+    d = u.reshape(-1, bins).sum(axis=0, dtype=np.uint8) - v.reshape(-1, bins).sum(axis=0, dtype=np.uint8)
+    return int(np.minimum(d, -d).sum(dtype=np.int64))
 
 
 def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -117,7 +130,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
                 if not n:
                     classes.append(None)
                     groups.append(None)
-                    sketches.append(np.zeros(SKETCH, np.int64))
+                    sketches.append(b"")
                     continue
                 sketches.append(sketch(s))
                 whole = signature(s)
@@ -135,10 +148,9 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             rows = np.zeros(len(ids), _DOC)
             rows["doc"], rows["known"], rows["n"] = [x or 0 for x in ids], [x is not None for x in ids], ns
             rows["class"], rows["group"] = [-1 if x is None else x for x in classes], [-1 if x is None else x for x in groups]
-            if len(ids):
-                rows["sketch"] = np.array(sketches)
+            rows["bins"] = list(map(len, sketches))
             if len(rows):
-                yield _rows(np.array([-1 - int(rows["doc"][0]) % parts], np.int32), [rows.tobytes()])
+                yield _rows(np.array([-1 - int(rows["doc"][0]) % parts], np.int32), [len(rows).to_bytes(8, "little") + rows.tobytes() + b"".join(sketches)])
             if size >= FLUSH:
                 yield dealt()
                 held, size = [], 0
@@ -162,15 +174,17 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             shared_[:-1] |= same
             rows = rows[shared_]
             nothing = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, pa.array(rows["n"].astype(np.int64)), nothing, pa.array(rows["g"]), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(rows["e"].view(np.int64)), pa.array(rows["p"].astype(np.int32))], _NAMES)
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(rows["n"].astype(np.int64)), nothing, pa.array(rows["g"]), pa.nulls(len(rows), pa.binary()), pa.array(rows["e"].view(np.int64)), pa.array(rows["p"].astype(np.int32))], _NAMES)
 
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if part < 0:
-                    d = np.frombuffer(blob, _DOC)
+                    d = np.frombuffer(blob, _DOC, count=int.from_bytes(blob[:8], "little"), offset=8)
+                    ends = np.concatenate([[0], np.cumsum(d["bins"])]).astype(np.int32)
+                    sketches = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(ends), pa.py_buffer(blob[8 + d.nbytes :])])
                     has = d["class"] >= 0
                     empty = pa.nulls(len(d), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=~d["known"]), pa.array(d["n"]), pa.array(d["class"], mask=~has), pa.array(d["group"], mask=~has), pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(d) + 1, SKETCH, dtype=np.int32)), pa.array(d["sketch"].ravel())), empty, pa.nulls(len(d), pa.int32())], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=~d["known"]), pa.array(d["n"]), pa.array(d["class"], mask=~has), pa.array(d["group"], mask=~has), sketches, empty, pa.nulls(len(d), pa.int32())], _NAMES)
                     continue
                 if part != now and held:
                     yield from out()
@@ -181,10 +195,10 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray) -> DataFra
             yield from out()
 
     dealt = docs.mapInArrow(elements, "part int, blob binary").repartition(min(parts, 2 * partitions(spark)), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "doc_id long, n long, class long, grp long, sketch array<bigint>, element long, place int")
+    return dealt.mapInArrow(meet, "doc_id long, n long, class long, grp long, sketch binary, element long, place int")
 
 
-_DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("class", "<i8"), ("group", "<i8"), ("sketch", "<i8", (SKETCH,))])
+_DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("class", "<i8"), ("group", "<i8"), ("bins", "<i4")])
 _NAMES = ["doc_id", "n", "class", "grp", "sketch", "element", "place"]
 
 
@@ -200,9 +214,15 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame
     """pairs (a, b) of classes -> those whose sets reach the similarity. members (class, doc_id, n, sketch): a document of each."""
     spark = docs.sparkSession
     of = lambda x: members.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    unlike = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    near = (100 + PERCENT) * unlike <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
-    pairs, pairs_path = cut(pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b"), "ngram-near")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [(100 + PERCENT) * unlike(u, v) <= (100 - PERCENT) * k for k, u, v in zip(n, x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.expr("n_a + n_b"), "s_a", "s_b")
+    pairs, pairs_path = cut(both.mapInArrow(near, "a long, b long"), "ngram-near")
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = members.join(needed, "class", "left_semi")
 

@@ -348,3 +348,15 @@ def test_empty_tables(spark, tmp_path):
 def test_text_bytes_of_a_slice():
     data, offsets = fingerprints.text_bytes(pa.array(["ab", None, "cde"])[1:])
     assert data.tobytes() == b"cde" and offsets.tolist() == [0, 0, 3]
+
+
+def test_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (1, 1, 0), (1, 1, 1), (5, 4000, 3), (700, 900, 650), (20_000, 21_000, 15_000), (300, 300, 300), (90_000, 40, 7)]:
+        items = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))[: n + m - both]
+        rng.shuffle(items)
+        a, b = np.sort(items[:n]), np.sort(items[n - both :])
+        least = ngram_join.unlike(ngram_join.sketch(a), ngram_join.sketch(b))
+        assert least == ngram_join.unlike(ngram_join.sketch(b), ngram_join.sketch(a)) <= len(np.setxor1d(a, b))
+    a, b = (np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64)) for _ in range(2))
+    assert ngram_join.unlike(ngram_join.sketch(a), ngram_join.sketch(b)) > 3000  # long sets are told apart
