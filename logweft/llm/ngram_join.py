@@ -7,9 +7,11 @@ expanded to their members (one for each distinct set), those whose sketches diff
 sets to differ in elements are dropped, and the others are verified on whole sets. A sketch counts a set's elements in
 bins, one for every few elements, so it tells long sets apart as well as short ones.
 
-The result is the components of the links, so pairs are verified in two rounds: first every group with the next one of
-each shared element, which links most of what belongs together; then all pairs that are still in different components.
-Pairs inside a component can't change it. No list of an element's documents is ever built in one task.
+The result is the components of the links, so pairs are verified in rounds: first every group with the next one of each
+shared element; then, CHANCES times, every class with one other of each element that chance puts next to it and that is
+in another component; then all pairs that are still in different components. The earlier rounds try one pair an element
+and link most of what belongs together, so a large group of near copies is one component before its pairs would be
+listed. Pairs inside a component can't change it. No list of an element's documents is ever built in one task.
 
 Order: shingles found LOCAL times or more in a block of about BLOCK shingles are called common, with their counts; the
 HEAVY most frequent ones are known to all tasks. It only decides the order, never the result.
@@ -38,6 +40,8 @@ BLOCK, LOCAL, HEAVY = 2_000_000, 3, 1 << 17
 FLUSH, PARTS = 400_000, 4096
 #: Elements for each bin of a set's sketch, and least bins. Ids that are sent to all tasks at most.
 PER_BIN, LEAST_BINS, SENT = 4, 128, 300_000
+#: Rounds that try neighbours by chance.
+CHANCES = 2
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -276,29 +280,39 @@ def link_components(docs: DataFrame) -> DataFrame:
     tried, tried_path = cut(first.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "ngram-first")
     links = verified(tried, docs, members)
 
-    # Round 2: what still lies in different components, by every shared element that joins two of them.
+    # Later rounds: what still lies in different components, by every shared element (or group) that joins two of them.
     root, root_path = cut(components(links), "ngram-root")
-    placed = usable.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed, placed_path = cut(placed, "ngram-placed")
-    entries = shared.join(placed.select("grp", "class", "root"), "grp").select("element", "class", "n", "place", "root")
-    mixed = entries.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("element")
-    entries, entries_path = cut(entries.join(mixed, "element", "left_semi"), "ngram-entries")
+    old = [root_path, tried_path]
     # The overlap is at most this element and what follows it in both; it has to reach 3/7 of both sizes (for 75 %).
     rest = "least(x.n - x.place, y.n - y.place)"
-    reach = f"{100 + PERCENT} * {rest} >= {PERCENT} * (x.n + y.n)"
-    x, y = entries.alias("x"), entries.alias("y")
-    pairs = x.join(y, F.expr(f"x.element = y.element AND x.class < y.class AND x.root <> y.root AND {_may_reach('x.n', 'y.n')} AND {reach}")).selectExpr("x.class AS a", "y.class AS b")
-    x, y = placed.alias("x"), placed.alias("y")
-    pairs = pairs.union(x.join(y, F.expr("x.grp = y.grp AND x.class < y.class AND x.root <> y.root")).selectExpr("x.class AS a", "y.class AS b")).distinct()
-    pairs, pairs_path = cut(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-second")
-    more = verified(pairs, docs, members)
-    root, _ = cut(components(links.union(more)), "ngram-components")
+    reach = f"x.root <> y.root AND {_may_reach('x.n', 'y.n')} AND {100 + PERCENT} * {rest} >= {PERCENT} * (x.n + y.n)"
+    for k in range(CHANCES + 1):
+        placed = usable.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        placed, placed_path = cut(placed, "ngram-placed")
+        entries = shared.join(placed.select("grp", "class", "root"), "grp").select("element", "class", "n", "place", "root")
+        entries = entries.union(placed.selectExpr("grp AS element", "class", "n", "0 AS place", "root"))
+        mixed = entries.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("element")
+        entries, entries_path = cut(entries.join(mixed, "element", "left_semi"), "ngram-entries")
+        me = F.struct("class", "n", "place", "root")
+        if k < CHANCES:
+            chance = Window.partitionBy("element").orderBy(F.xxhash64("class", "element", F.lit(k)), "class")
+            both = entries.select(me.alias("x"), F.lead(me).over(chance).alias("y")).filter("y IS NOT NULL").filter(reach)
+            pairs = both.selectExpr("least(x.class, y.class) AS a", "greatest(x.class, y.class) AS b")
+        else:
+            x, y = entries.alias("x"), entries.alias("y")
+            pairs = x.join(y, F.expr(f"x.element = y.element AND x.class < y.class AND {reach}")).selectExpr("x.class AS a", "y.class AS b")
+        pairs, pairs_path = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"ngram-pairs{k}")
+        tried = tried.union(pairs)
+        more = verified(pairs, docs, members)
+        root, root_path = cut(components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "ngram-root")
+        drop(spark, placed_path, entries_path)
+        old += [root_path, pairs_path]
 
     # From classes to documents: the smallest id of a component.
     home = classes.select("class", "doc_id").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = home.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class, _ = cut(home.join(smallest, "root").select("class", "component_id"), "ngram-homes")
-    drop(spark, tried_path, root_path, placed_path, entries_path, pairs_path)
+    drop(spark, *old)
     out = known.join(of_class, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
