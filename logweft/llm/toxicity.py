@@ -131,55 +131,55 @@ MOST = 8.0
 def fit(rows: Iterable[tuple[str, int]]) -> Model:
     """Learn from (text, 0 or 1)."""
     folded = [(fold(t), y) for t, y in rows]
-    seen = {1: Counter(), 0: Counter()}
     toxic = sum(y for _, y in folded)
     clean = len(folded) - toxic
     if not toxic or not clean:
         return Model()
-    sets = []
-    for t, y in folded:
-        if y:
-            sets.append(fragments(t))
-            seen[1].update(sets[-1])
-    seen[1] = Counter({x: p for x, p in seen[1].items() if p >= LEAST})
-    sets = [s & seen[1].keys() for s in sets]
+    # Fragments have numbers, so that a text is a small array and each fragment is held once.
+    number: dict[tuple[str, int], int] = {}
+    texts = [np.array([number.setdefault(x, len(number)) for x in fragments(t)], np.int32) for t, y in folded if y]
+    times = np.bincount(np.concatenate(texts), minlength=len(number))
+    known = [x for x, k in number.items() if times[k] >= LEAST]
+    place = np.full(len(number), -1, np.int32)
+    place[[number[x] for x in known]] = np.arange(len(known))
+    number = {x: k for k, x in enumerate(known)}
+    texts = [p[p >= 0] for p in (place[t] for t in texts)]
+    seen = {1: times[times >= LEAST], 0: np.zeros(len(known), np.int64)}
     for t, y in folded:
         if not y:
-            seen[0].update(fragments(t) & seen[1].keys())
-    bar = 2 * math.log(max(2, len(seen[1])))
+            seen[0][[number[x] for x in fragments(t) if x in number]] += 1
+    bar = 2 * math.log(max(2, len(known)))
 
-    def strength(p: int, n: int, of: int) -> tuple[float, float]:
+    def strength(p: np.ndarray, n: np.ndarray, of: int) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds, and how far p of `of` toxic texts is from chance given n clean ones (twice the log-likelihood ratio)."""
         rate = (p + n) / (of + clean)
-        return math.log((p + 0.5) / (of + 1)) - math.log((n + 0.5) / (clean + 1)), 2 * (p * math.log(p / of / rate) + (n * math.log(n / clean / rate) if n else 0))
+        odds = np.log((p + 0.5) / (of + 1)) - np.log((n + 0.5) / (clean + 1))
+        return odds, 2 * (p * np.log(p / of / rate) + n * np.log(np.maximum(n, 1) / clean / rate))
 
     weights: dict[str, dict[int, float]] = {}
+    chosen: set[int] = set()
     # Entries that stand out among all toxic texts; of beginnings that say the same, the shortest.
-    for x, i in sorted(seen[1], key=lambda x: (len(x[0]), x)):
-        p = seen[1][x, i]
-        if p >= max(LEAST, SHARE * toxic):
-            odds, far = strength(p, seen[0][x, i], toxic)
-            near = [w for k in range(2, len(x)) for w in weights.get(x[:k], {}).values()] + list(weights.get(x, {}).values())
-            if odds >= ODDS and far >= 2 * bar and not any(w >= odds - 0.3 for w in near):
-                weights.setdefault(x, {})[i] = odds
+    odds, far = strength(seen[1], seen[0], toxic)
+    good = np.flatnonzero((seen[1] >= max(LEAST, SHARE * toxic)) & (odds >= ODDS) & (far >= 2 * bar))
+    for k in sorted(good.tolist(), key=lambda k: (len(known[k][0]), known[k])):
+        x, i = known[k]
+        near = [w for j in range(2, len(x)) for w in weights.get(x[:j], {}).values()] + list(weights.get(x, {}).values())
+        if not any(w >= odds[k] - 0.3 for w in near):
+            weights.setdefault(x, {})[i] = float(odds[k])
+            chosen.add(k)
     # Then, again and again, the entry that stands out most among the toxic texts that have no entry yet.
-    chosen = {(x, i) for x, at in weights.items() for i in at}
-    left = [s for s in sets if not s & chosen]
-    counts = Counter(x for s in left for x in s)
+    left = [t for t in texts if not chosen.intersection(t.tolist())]
     while left:
-        best, found = 0.0, None
-        for x, p in counts.items():
-            if p >= LEAST and 2 * p * math.log((len(left) + clean) / len(left)) >= best:  # no more can come out
-                odds, far = strength(p, seen[0][x], len(left))
-                if odds >= ODDS and (far, -len(x[0]), x) > (best, -len(found[0]) if found else 0, found or ("", 0)):
-                    best, found = far, x
-        if found is None or best < bar:
+        counts = np.bincount(np.concatenate(left), minlength=len(known))
+        some = np.flatnonzero(counts >= LEAST)
+        odds, far = strength(counts[some], seen[0][some], len(left))
+        far = np.where(odds >= ODDS, far, 0.0)
+        if not len(far) or far.max() < bar:
             break
-        weights.setdefault(found[0], {})[found[1]] = strength(counts[found], seen[0][found], len(left))[0]
-        for s in left:
-            if found in s:
-                counts.subtract(s)
-        left = [s for s in left if found not in s]
+        at = max(np.flatnonzero(far == far.max()).tolist(), key=lambda j: (-len(known[some[j]][0]), known[some[j]]))
+        k = int(some[at])
+        weights.setdefault(known[k][0], {})[known[k][1]] = float(odds[at])
+        left = [t for t in left if k not in t]
     # A phrase of an entry and the next or previous word is an exception if clean texts have it and no toxic one does.
     entries = Scorer(Model(weights))
     phrases = {1: Counter(), 0: Counter()}
