@@ -7,8 +7,9 @@ its occurrences, divided by the number of words, reach the entry's level: words
 0, beginnings that clean texts have now and then a higher one. The sum of the weights and the sum of weighted
 occurrences per word go through a logistic curve.
 
-Entries, weights, exception phrases and the curve are learned from at most SAMPLE labelled rows of each class, those
-with the smallest hash of their id; of a long text, its first SAMPLE_CHARS code points. Scoring reads whole texts.
+Entries, weights, exception phrases and the curve are learned from at most SAMPLE labelled ids of each class, those
+with the smallest hash; an id with several texts gives the one with the smallest hash, so copies push nothing out. Of a
+long text, the first SAMPLE_CHARS code points count. Scoring reads whole texts.
 
 Defined cases: null, empty and signs-only texts score as texts without matches; without toxic labels the lexicon is
 empty and every score is 0; null labels are left out; repeated rows are scored alike; extra columns are kept.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Labelled rows of each class to learn from, and the part of a text that is used for that.
+#: Labelled ids of each class to learn from, and the part of a text that is used for that.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Lengths of word beginnings; least documents, share of the toxic ones and log-odds of an entry; the limit of a toxic score.
 PREFIXES, LEAST, SHARE, ODDS, LIMIT = (4, 5, 6, 7, 8), 3, 0.02, 2.0, 0.7
@@ -214,7 +215,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for y in (1, 0):
         rows = known.filter(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
         ids |= {r[0]: y for r in rows}
-    texts = docs.filter(F.col("doc_id").isin(list(ids))).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(4 * sample).collect() if ids else []
+    if not ids:
+        return fit([])
+    # Nulls have no place, so an id gives its empty text only where it has no other.
+    place = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    texts = docs.filter(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.coalesce(F.min_by(F.substring("text", 1, SAMPLE_CHARS), place), F.lit("")).alias("text")).collect()
     return fit([(r.text, ids[r.doc_id]) for r in sorted(texts)])
 
 

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by learned partitions.
 
-A neighbour graph of at most SAMPLE vectors (those with the smallest hash of their id) is halved again and again, each
-time by the slowest mode of its random walk and then by swaps that cut fewer edges, into 2^DEPTH parts of equal size. A
+A neighbour graph of at most SAMPLE vectors (those with the smallest hash of id and vector, copies of a row once) is
+halved again and again, each time by the slowest mode of its random walk and then by swaps that cut fewer edges, into 2^DEPTH parts of equal size. A
 small network learns which parts hold the neighbours of a vector. Every row is indexed in its most probable part; a
 query goes to its most probable parts until their probability reaches MASS and they hold LEAST rows, and all rows there
 are ranked by the exact measure.
@@ -127,8 +127,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def learn(vectors: DataFrame) -> tuple[Router, int] | None:
     """The router and the vectors' length, from a bounded sample. vectors (id, v)."""
-    ids = [r[0] for r in vectors.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    rows = vectors.filter(F.col("id").isin(ids)).limit(SAMPLE).toPandas().sort_values("id") if ids else []
+    hashed = vectors.select("id", "v", F.xxhash64("id", "v").alias("h"))
+    hashes = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    rows = hashed.filter(F.col("h").isin(hashes)).groupBy("h").agg(F.first("id").alias("id"), F.first("v").alias("v")).toPandas().sort_values(["id", "h"]) if hashes else []
     if not len(rows):
         return None
     sizes = rows["v"].map(len)

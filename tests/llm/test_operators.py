@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logweft.llm import chat_format, fingerprints, html_extraction, mixing, ngram_join, sentencepiece_codec, token_output, toxicity, url_filters, vector_search
 from logweft.llm.components import components
@@ -97,6 +98,17 @@ def test_vector_search(spark, folder):
     assert hits / total >= 0.9
 
 
+def test_vector_sample_of_a_hot_id(spark, monkeypatch):
+    hot = spark.range(400).orderBy(F.xxhash64("id")).first()[0]
+    vecs = [(hot, [1.0, 0.0, 0.0, 0.0])] * 300 + [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(400)]
+    seen = []
+    graph = vector_search.neighbour_graph
+    monkeypatch.setattr(vector_search, "SAMPLE", 128)
+    monkeypatch.setattr(vector_search, "neighbour_graph", lambda x, k: seen.append(x) or graph(x, k))
+    vector_search.learn(spark.createDataFrame(vecs, "id long, v array<double>").coalesce(1))
+    assert len(np.unique(seen[0], axis=0)) == len(seen[0]) == 128
+
+
 def test_partition_is_balanced():
     x = np.random.default_rng(1).normal(size=(256, 6))
     part = vector_search.partition(vector_search.neighbour_graph(x, 8), 3)
@@ -250,6 +262,16 @@ def test_toxicity_held_out(spark):
     assert hit / sum(r.toxic for r in rows) > 0.8 and hit / sum(r.predicted for r in rows) > 0.9
 
 
+def test_toxicity_of_a_hot_id(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"word{i} idiot here" if i % 2 else f"plain word{i} here") for i in ids]
+    hot = next(i for i in ids if i % 2)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    learn = lambda docs: toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), labels, 100)
+    model = learn(rows)
+    assert model.weights and learn([(hot, dict(rows)[hot])] * 1000 + [(hot, None)] + rows) == model
+
+
 def test_toxicity_query(spark, folder):
     got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, folder[0]).collect()}
     assert len(got) == len(folder[1]) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
