@@ -7,6 +7,7 @@ import os
 import re
 import sys
 import tempfile
+from collections.abc import Iterable
 
 from . import sinks
 from .engine import Engine
@@ -38,6 +39,11 @@ def time_filter(start: str | None, end: str | None, field: str) -> str:
     return f"where {' and '.join(tests)}" if tests else ""
 
 
+def show(lines: Iterable[str]) -> None:
+    for line in lines:
+        print(line)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="logweft")
     p.add_argument("query")
@@ -70,14 +76,14 @@ def main(argv: list[str] | None = None) -> int:
         if before or after or a.around:
             query = f"{limits} | {a.query}" if limits else a.query
             df = engine.context(query, source, before, after, duration_us(a.around) if a.around else 0, a.time_field)
-            print(sinks.context_table(df) if a.output == "table" else sinks.render(df, a.output))
+            show(sinks.context_lines(df) if a.output == "table" else sinks.lines(df, a.output))
             return 0
         result = engine.run(a.query, kept)
         if result.chart and a.output == "table":
             print(result.draw(int(os.environ.get("COLUMNS", "100"))))
         else:
             colour = a.color == "always" or (a.color == "auto" and sys.stdout.isatty() and "NO_COLOR" not in os.environ)
-            print(sinks.render(result.df, a.output, colour))
+            show(sinks.lines(result.df, a.output, colour))
         return 0
     except QueryError as e:
         print(f"error: {e}", file=sys.stderr)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.coerce import Typed, is_span, is_time, txt
 
-#: Rows that are shown at most; files have no limit.
-SHOWN = 10_000
 LEVEL_COLUMNS = {"level", "lvl", "severity", "loglevel", "log_level"}
 COLOURS = {"error": 31, "err": 31, "fatal": 35, "critical": 35, "crit": 35, "panic": 35, "warn": 33, "warning": 33, "info": 32, "debug": 36, "trace": 90}
 FORMATS = ("table", "json", "ndjson", "jsonl", "tsv")
@@ -25,47 +24,82 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(txt(Typed(F.col(f"`{f.name}`"), f.dataType)), F.lit("")).alias(f.name) for f in df.schema])
 
 
-def render(df: DataFrame, fmt: str = "table", colour: bool = False) -> str:
+def lines(df: DataFrame, fmt: str = "table", colour: bool = False) -> Iterator[str]:
+    """All rows as lines of text, which come from one partition after the other."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown output {fmt!r}; known: {', '.join(FORMATS)}")
-    if fmt == "table":
-        return table(df, colour)
-    if fmt == "tsv":
-        rows = as_text(df).limit(SHOWN).collect()
-        return "\n".join(["\t".join(df.columns), *("\t".join(r) for r in rows)])
-    rows = [json.loads(x) for x in shown(df).limit(SHOWN).toJSON().collect()]
-    return json.dumps(rows, indent=2, ensure_ascii=False) if fmt == "json" else "\n".join(json.dumps(r, ensure_ascii=False) for r in rows)
+    return _table(df, colour) if fmt == "table" else _tsv(df) if fmt == "tsv" else _json(df) if fmt == "json" else map(_plain_json, _rows(df))
 
 
-def table(df: DataFrame, colour: bool = False) -> str:
-    rows = [tuple(r) for r in as_text(df).limit(SHOWN).collect()]
-    if not df.columns:
-        return "(no columns)"
-    wide = [max([len(n), *(len(r[k]) for r in rows)]) for k, n in enumerate(df.columns)]
-    line = lambda cells: "  ".join(f"{c:<{w}}" for c, w in zip(cells, wide, strict=True)).rstrip()
+def render(df: DataFrame, fmt: str = "table", colour: bool = False) -> str:
+    return "\n".join(lines(df, fmt, colour))
 
-    def painted(r: tuple) -> str:
-        cells = [f"{c:<{w}}" for c, w in zip(r, wide, strict=True)]
-        for k, n in enumerate(df.columns):
-            if colour and n.lower() in LEVEL_COLUMNS and (code := COLOURS.get(r[k].lower())):
-                cells[k] = f"\x1b[{code}m{cells[k]}\x1b[0m"
-        return "  ".join(cells).rstrip()
 
-    return "\n".join([line(df.columns), "  ".join("-" * w for w in wide), *map(painted, rows)])
+def _rows(df: DataFrame) -> Iterator:
+    return map(json.loads, shown(df).toJSON().toLocalIterator())
 
 
-def context_table(df: DataFrame) -> str:
+def _plain_json(row) -> str:
+    return json.dumps(row, ensure_ascii=False)
+
+
+def _json(df: DataFrame) -> Iterator[str]:
+    last = None
+    for row in _rows(df):
+        yield "[" if last is None else f"{last},"
+        last = "  " + json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n  ")
+    yield from ("[]",) if last is None else (last, "]")
+
+
+def _tsv(df: DataFrame) -> Iterator[str]:
+    yield "\t".join(df.columns)
+    yield from map("\t".join, as_text(df).toLocalIterator())
+
+
+def _table(df: DataFrame, colour: bool = False, group: str | None = None) -> Iterator[str]:
+    """A table; with a group column, which isn't shown, `--` where its value changes."""
+    names = [n for n in df.columns if n != group]
+    if not names:
+        yield "(no columns)"
+        return
+    # Widths need a pass of their own, over the same rows.
+    rows = as_text(df).persist()
+    try:
+        wide = [max(len(n), w or 0) for n, w in zip(names, rows.agg(*[F.max(F.length(f"`{n}`")) for n in names]).first(), strict=True)]
+        line = lambda cells: "  ".join(f"{c:<{w}}" for c, w in zip(cells, wide, strict=True)).rstrip()
+
+        def painted(r: tuple) -> str:
+            cells = [f"{c:<{w}}" for c, w in zip(r, wide, strict=True)]
+            for k, n in enumerate(names):
+                if colour and n.lower() in LEVEL_COLUMNS and (code := COLOURS.get(r[k].lower())):
+                    cells[k] = f"\x1b[{code}m{cells[k]}\x1b[0m"
+            return "  ".join(cells).rstrip()
+
+        yield line(names)
+        yield "  ".join("-" * w for w in wide)
+        before = None
+        for r in rows.select(*[f"`{n}`" for n in names], *([group] if group else [])).toLocalIterator():
+            if group and before not in (None, r[-1]):
+                yield "--"
+            before = r[-1]
+            yield painted(tuple(r)[: len(names)])
+    finally:
+        rows.unpersist()
+
+
+def table(df: DataFrame, colour: bool = False) -> str:
+    return "\n".join(_table(df, colour))
+
+
+def context_lines(df: DataFrame) -> Iterator[str]:
     """Groups of neighbouring rows, `--` between them."""
     from .operators.context import GROUP
 
-    groups = [r[0] for r in df.select(GROUP).limit(SHOWN).collect()]
-    head, rule, *rows = table(df.drop(GROUP)).split("\n")
-    out = [head, rule]
-    for k, row in enumerate(rows):
-        if k and groups[k] != groups[k - 1]:
-            out.append("--")
-        out.append(row)
-    return "\n".join(out)
+    return _table(df, group=GROUP)
+
+
+def context_table(df: DataFrame) -> str:
+    return "\n".join(context_lines(df))
 
 
 def write(df: DataFrame, path: str, fmt: str = "ndjson") -> None:
@@ -80,4 +114,4 @@ def write(df: DataFrame, path: str, fmt: str = "ndjson") -> None:
         raise ValueError(f"can't write {fmt!r}")
 
 
-__all__ = ["render", "table", "context_table", "write"]
+__all__ = ["lines", "render", "table", "context_lines", "context_table", "write"]

@@ -132,6 +132,24 @@ def test_chart(engine):
     assert engine.run("summarize n=count() by service | render bar | where n > 0", "s").chart is None
 
 
+def test_output_has_all_rows(spark, tmp_path, capsys):
+    import json
+
+    from logweft import cli, sinks
+
+    df = spark.range(10_050).selectExpr("id", "'é' AS t")
+    want = [{"id": i, "t": "é"} for i in range(10_050)]
+    assert sinks.render(df, "json") == json.dumps(want, indent=2, ensure_ascii=False) and sinks.render(df.limit(0), "json") == "[]"
+    assert [json.loads(x) for x in sinks.render(df, "ndjson").split("\n")] == want
+    assert len(sinks.render(df, "tsv").split("\n")) == 10_051
+    assert sinks.render(df).split("\n")[-1] == "10049  é" and len(sinks.render(df).split("\n")) == 10_052
+    assert sinks.render(df.limit(0)) == "id  t\n--  -"
+    assert sinks.context_table(df.selectExpr("id", "id < 10000 AS _group")).split("\n")[10_002:10_004] == ["--", "10000"]
+    (tmp_path / "a.log").write_text("".join(f"x{i}\n" for i in range(10_050)))
+    assert cli.main(["project _raw", str(tmp_path / "a.log"), "--input", "raw", "--output", "tsv"]) == 0
+    assert capsys.readouterr().out.split("\n")[:-1] == ["_raw", *(f"x{i}" for i in range(10_050))]
+
+
 def test_filter_reaches_the_scan(spark):
     from logweft.queries import engine as over
 
