@@ -15,8 +15,6 @@ LINE, RAW = "_line", "_raw"
 NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?$"
 FORMATS = ("json", "ndjson", "auto", "logfmt", "csv", "tsv", "regex", "raw", "text", "parquet")
 _PAIR = r'([^\s=]+)(?:=("(?:[^"\\]|\\.)*"|[^ ]*))?'
-#: Distinct keys of a file that become columns.
-KEYS = 1000
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -86,12 +84,23 @@ def pairs(raw: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, last))
 
 
+def _kinds(df: DataFrame, column: str) -> dict[str, str | None]:
+    """All keys of a map column in the order of their names, with the type that all values of a key have: double, boolean
+    or none but text. One pass, whose size doesn't depend on the number of keys."""
+    tests = F.bool_and(F.col("v").rlike(NUMBER)).alias("n"), F.bool_and(F.col("v").isin("true", "false")).alias("b")
+    found = df.select(F.explode(column).alias("k", "v")).groupBy("k").agg(*tests).orderBy("k").collect()
+    return {r.k: "double" if r.n else "boolean" if r.b else None for r in found}
+
+
+def _value(column: str, key: str, kind: str | None) -> Column:
+    value = F.col(column)[key]
+    return value.try_cast(kind) if kind else value
+
+
 def _spread(df: DataFrame, column: str) -> DataFrame:
-    """A map's keys as columns, in the order of their names; at most KEYS of them."""
-    keys = [r[0] for r in df.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k").limit(KEYS).collect()]
+    """A map's keys as columns, in the order of their names."""
     rest = [c for c in df.columns if c != column]
-    out = df.select(*rest, *[F.col(column)[k].alias(k) for k in keys if k not in rest])
-    return coerced(out, [k for k in keys if k not in rest])
+    return df.select(*rest, *[_value(column, k, kind).alias(k) for k, kind in _kinds(df, column).items() if k not in rest])
 
 
 def read_logfmt(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -108,7 +117,7 @@ def read_auto(spark: SparkSession, paths: list[str]) -> DataFrame:
     parsed = df.withColumn("__j", F.when(is_json, F.from_json(RAW, schema)))
     names = [f.name for f in schema if f.name not in (LINE, RAW)]
     rest = parsed.withColumn("__kv", F.when(F.col("__j").isNull() & F.col(RAW).rlike(r"(^|\s)[A-Za-z_][\w.-]*="), pairs(F.col(RAW))))
-    keys = [r[0] for r in rest.select(F.explode(F.map_keys("__kv")).alias("k")).distinct().orderBy("k").limit(KEYS).collect()]
+    keys = _kinds(rest, "__kv")
     good = F.col("__j").isNotNull()
     columns = []
     for n in dict.fromkeys([*names, *(k for k in keys if k not in (LINE, RAW))]):
@@ -116,9 +125,9 @@ def read_auto(spark: SparkSession, paths: list[str]) -> DataFrame:
             kind = schema[n].dataType
             columns.append(F.coalesce(F.col(f"__j.`{n}`").cast("string"), F.col("__kv")[n]).try_cast("double" if isinstance(kind, T.NumericType) else kind).alias(n))
         else:
-            columns.append((F.col(f"__j.`{n}`") if n in names else F.col("__kv")[n]).alias(n))
+            columns.append((F.col(f"__j.`{n}`") if n in names else _value("__kv", n, keys[n])).alias(n))
     out = rest.select(F.when(~good, F.col(LINE)).alias(LINE), F.when(~good, F.col(RAW)).alias(RAW), *columns)
-    return _widened(coerced(out, [k for k in keys if k not in names]))
+    return _widened(out)
 
 
 def read_separated(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:

@@ -177,6 +177,17 @@ def test_sources(spark, tmp_path):
         read(spark, str(f), "regex")
 
 
+@pytest.mark.parametrize("fmt", ["logfmt", "auto"])
+def test_every_key_is_a_column(spark, tmp_path, fmt):
+    from logweft.sources.text import read
+
+    f = tmp_path / "a.log"
+    f.write_text("".join(" ".join(f"k{k:04}={k}" for k in range(a, a + 100)) + " ok=true zz=x7\n" for a in range(0, 1200, 100)))
+    df = read(spark, str(f), fmt)
+    assert len(df.columns) == 1204 and dict(df.dtypes)["k1199"] == "double" and dict(df.dtypes)["ok"] == "boolean"
+    assert Engine(spark).run('where k1199 == 1199 and zz == "x7" | count', df).df.first()[0] == 1
+
+
 def test_stream(spark, tmp_path):
     from logweft.streaming.queries import over_stream
 
