@@ -1,4 +1,4 @@
-"""Charts: the data by Spark, the drawing in text from a few collected rows."""
+"""Charts: the data by Spark over all rows, the drawing in text from what is drawn: bars, columns or cells of a grid."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from ..functions.coerce import num
 from ..functions.expressions import Scope
 from ..plans.stages import Stage
 
-#: Rows that a chart collects at most.
-ROWS = 5000
 BLOCKS, MARKS = "▏▎▍▌▋▊▉█", "*+ox#@"
 
 
@@ -47,16 +45,24 @@ def draw(df: DataFrame, chart: Stage, width: int = 100) -> str:
         column = chart.options.get("xcolumn", ys)[0]
         rows = histogram(df, column, int(chart.options.get("bins", ["10"])[0])).orderBy("bin").collect()
         return head + bars([(f"{number(r.low)} - {number(r.high)}", float(r.n)) for r in rows], width)
-    rows = df.limit(ROWS).collect()
-    pairs = [(str(r[x]), float(r[ys[0]] or 0)) for r in rows] if ys else []
+    if not ys:
+        return head + "(no data)"
+    values = df.select(F.col(f"`{x}`").alias("x"), *[num(Scope(df).field(y)).cast("double").alias(f"y{k}") for k, y in enumerate(ys)])
     if kind == "bar":
-        return head + bars(pairs, width)
+        return head + bars(flat(values, ys), width)
     if kind == "column":
-        return head + columns(pairs, width)
+        return head + columns(values, ys, width)
     if kind == "pie":
-        total = sum(v for _, v in pairs if v > 0) or 1.0
-        return head + bars([(f"{n} {100 * v / total:.1f}%", v) for n, v in pairs if v > 0], width)
-    return head + plot([[(i, float(r[y])) for i, r in enumerate(sorted(rows, key=lambda r: (r[x] is None, r[x])) if rows else []) if r[y] is not None] for y in ys[: len(MARKS)]], ys, width)
+        slices = [(n, v) for n, v in flat(values, ys) if v > 0]
+        total = sum(v for _, v in slices) or 1.0
+        return head + bars([(f"{n} {100 * v / total:.1f}%", v) for n, v in slices], width)
+    return head + plot(values, ys, width)
+
+
+def flat(values: DataFrame, names: list[str]) -> list[tuple[str, float]]:
+    """A label and a value for each row and y column; where there are several such columns, the label names them."""
+    label = lambda x, n: f"{x}/{n}" if len(names) > 1 else str(x)
+    return [(label(r[0], n), v) for r in values.toLocalIterator() for n, v in zip(names, r[1:], strict=True) if v is not None]
 
 
 def bars(pairs: list[tuple[str, float]], width: int) -> str:
@@ -71,26 +77,51 @@ def bars(pairs: list[tuple[str, float]], width: int) -> str:
     return "\n".join(lines)
 
 
-def columns(pairs: list[tuple[str, float]], width: int, height: int = 12) -> str:
-    if not pairs:
+def columns(values: DataFrame, names: list[str], width: int, height: int = 12) -> str:
+    """The first columns that there is room for, on the scale of all."""
+    ys = [f"y{k}" for k in range(len(names))]
+    found = values.agg(*[F.count(y) for y in ys], *[F.max(y) for y in ys]).first()
+    n, highs = sum(found[: len(ys)]), [v for v in found[len(ys) :] if v is not None]
+    if not n:
         return "(no data)"
-    pairs = pairs[: max(1, width // 4)]
-    most = max(v for _, v in pairs) or 1.0
+    room = max(1, width // 4)
+    pairs = flat(values.filter(F.coalesce(*ys).isNotNull()).limit(room), names)[:room]
+    most = max(highs) or 1.0
     lines = ["".join(" ██ " if v / most * height >= h else "    " for _, v in pairs).rstrip() for h in range(height, 0, -1)]
-    return "\n".join([*lines, "─" * (4 * len(pairs)), "".join(f"{n[:3]:^4}" for n, _ in pairs)])
-
-
-def plot(series: list[list[tuple[float, float]]], names: list[str], width: int, height: int = 15) -> str:
-    points = [p for s in series for p in s]
-    if not points:
-        return "(no data)"
-    x0, x1, y0, y1 = min(p[0] for p in points), max(p[0] for p in points), min(p[1] for p in points), max(p[1] for p in points)
-    grid = [[" "] * (wide := max(20, width - 12)) for _ in range(height)]
-    for k, s in enumerate(series):
-        for x, y in s:
-            column = round((x - x0) / (x1 - x0 or 1) * (wide - 1))
-            row = round((y - y0) / (y1 - y0 or 1) * (height - 1))
-            grid[height - 1 - row][column] = MARKS[k]
+    left = [f"(first {len(pairs)} of {n} columns)"] if n > len(pairs) else []
+    return "\n".join([*lines, "─" * (4 * len(pairs)), "".join(f"{n[:3]:^4}" for n, _ in pairs), *left])
+
+
+def in_order(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place `i` by x (nulls last, ties in the order they came), without a window over all rows; and the
+    cached frame they come from."""
+    dealt = values.withColumn("tie", F.monotonically_increasing_id()).orderBy(F.col("x").asc_nulls_last(), "tie")
+    dealt = dealt.withColumn("at", F.monotonically_increasing_id()).persist()
+    # The upper bits are the partition, the lower 33 the row in it.
+    part, start, starts = F.shiftright("at", 33), 0, {}
+    for p, n in sorted(dealt.groupBy(part.alias("p")).count().collect()):
+        starts[p], start = start, start + n
+    before = F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1)])
+    return dealt.withColumn("i", F.element_at(before, part.cast("int") + 1) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), dealt
+
+
+def plot(values: DataFrame, names: list[str], width: int, height: int = 15) -> str:
+    wide = max(20, width - 12)
+    placed, cached = in_order(values)
+    try:
+        series = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"y{k}").alias("y")) for k in range(len(names))]))
+        points = placed.select("i", series.alias("s")).select("i", "s.k", "s.y").filter("y IS NOT NULL AND NOT isnan(y)")
+        x0, x1, y0, y1 = points.agg(F.min("i"), F.max("i"), F.min("y"), F.max("y")).first()
+        if x0 is None or not math.isfinite(y0) or not math.isfinite(y1):
+            return "(no data)"
+        column = F.bround((F.col("i") - x0) / float(x1 - x0 or 1) * (wide - 1)).cast("int")
+        row = F.bround((F.col("y") - y0) / float(y1 - y0 or 1) * (height - 1)).cast("int")
+        cells = sorted(tuple(r) for r in points.select("k", column.alias("c"), row.alias("r")).distinct().collect())
+    finally:
+        cached.unpersist()
+    grid = [[" "] * wide for _ in range(height)]
+    for k, c, r in cells:
+        grid[height - 1 - r][c] = MARKS[k % len(MARKS)]
     scale = {0: number(y1), height - 1: number(y0), height // 2: number((y0 + y1) / 2)}
     lines = [f"{scale.get(i, ''):>10} │{''.join(r).rstrip()}" for i, r in enumerate(grid)]
-    return "\n".join([*lines, " " * 11 + "└" + "─" * wide, *(f"{MARKS[k]} {n}" for k, n in enumerate(names[: len(series)]))]) if math.isfinite(y1) else "(no data)"
+    return "\n".join([*lines, " " * 11 + "└" + "─" * wide, *(f"{MARKS[k % len(MARKS)]} {n}" for k, n in enumerate(names))])

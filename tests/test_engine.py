@@ -132,6 +132,23 @@ def test_chart(engine):
     assert engine.run("summarize n=count() by service | render bar | where n > 0", "s").chart is None
 
 
+def test_charts_take_all_rows_and_columns(spark):
+    df = spark.range(6000).selectExpr("5999 - id AS x", "CASE WHEN id = 5999 THEN 5999 ELSE 1 END AS y", "id AS z").coalesce(1)
+    draw = lambda query, of=df: Engine(spark).run(query, of).draw().split("\n")
+    pie = draw("project x, y | render pie")
+    assert len(pie) == 6000 and pie[-1].startswith("0 50.0%")
+    line = draw("project x, z | render line")
+    assert line[0].startswith("      5999 │*") and line[14].startswith("         0 │ ") and line[14].endswith("*") and len(line[14]) == 100
+    columns = draw("project x, y | render column")
+    assert columns[0] == "" and columns[-1] == "(first 25 of 6000 columns)"
+    two = df.filter("x < 2")
+    assert [b.split()[0] for b in draw("render bar", two)] == ["1/y", "1/z", "0/y", "0/z"]
+    assert [b.split()[0] for b in draw("render pie", two)] == ["1/y", "1/z", "0/y", "0/z"]
+    assert draw("render column", two)[-1] == "1/y 1/z 0/y 0/z "
+    assert draw("extend a=1, b=2, c=3, d=4, e=5 | render line", two)[-1] == "* e"
+    assert draw("where x < 0 | render line") == ["(no data)"]
+
+
 def test_output_has_all_rows(spark, tmp_path, capsys):
     import json
 
