@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import math
 import os
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of one Arrow batch; with texts of a few kB a batch then holds a few MB.
-BATCH_ROWS = 1000
+#: What an Arrow batch that goes to a Python worker holds at most: rows, and bytes beyond its first row.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches that go to Python workers small: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers by rows and by bytes.
+
+    All operators ask for the same bounds, so it doesn't matter which frame was built last when one of them runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then freed memory back to the system: a worker lives on and serves other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own may lack it
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """name, or with the first number behind it that makes it none of `taken` (in any case, as Spark compares names)."""
+    lower, out, k = {t.lower() for t in taken}, name, 0
+    while out.lower() in lower:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def quoted(*names: str) -> list[str]:
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def extended(df: DataFrame, *new: tuple[str, str]) -> T.StructType:
+    """The schema of df and of new columns (name, type)."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in new:
+        out = out.add(name, T.DataType.fromDDL(kind))
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,7 +111,13 @@ def dealt_by_id(docs: DataFrame, parts: int) -> DataFrame:
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     if not bounds:
         return docs.withColumn("__part", F.lit(0))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id")))
+    # The bounds in groups, so that a row is compared with about twice the square root of their number.
+    wide = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    passed = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    group = passed(numbers(g[0] for g in groups[1:])) if len(groups) > 1 else F.lit(0)
+    part = group * wide + passed(F.element_at(F.array(*map(numbers, groups)), group + 1))
     return docs.withColumn("__part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
 
 

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-Pieces and log scores come from a model file; byte pieces stand for what no piece covers, and spaces are the marker
-U+2581 with one put in front. The best segmentation of a word doesn't depend on other words when no piece goes past a
+Pieces and their scores come from a model file, as they are, for tokenizers are never trained here. In a unigram model
+they are log probabilities; the one file at hand holds merge ranks, which the recursion adds up in the same way. Byte
+pieces stand for what no piece covers, and spaces are the marker U+2581 with one put in front. The best segmentation of a word doesn't depend on other words when no piece goes past a
 marker, so each distinct word of a batch is segmented once: all their positions walk the trie together, and the
 Viterbi recursion runs over all words at once, by position. Ties go to the longer last piece.
 
@@ -9,7 +10,8 @@ Decoding turns markers back to spaces, bytes to UTF-8, and drops the marker in f
 encoded by its bytes, so decoding always gives the text back.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; lone surrogates can't occur in Arrow
-texts; texts of one very long word are segmented whole; repeated rows are treated alike; extra columns are kept.
+texts; texts of one very long word are segmented whole; repeated rows are treated alike; an empty table gives an empty
+one; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import bounded_batches, extended, free, table, tidy
 
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
-#: How much worse than the worst piece a character without a piece is; words whose pieces a worker remembers.
-UNKNOWN, REMEMBER = 10.0, 400_000
+#: How much worse than the worst piece a character without a piece is.
+UNKNOWN = 10.0
+#: Bytes of the words whose pieces a worker remembers, of the longest such word, and of those segmented at once.
+REMEMBER, LONG, AT_ONCE = 24 << 20, 64, 128 << 10
 #: Places that the trie's builder tries before it goes to the end.
 TRIES = 40
 
@@ -220,6 +224,7 @@ class Codec:
         self.v = vocabulary
         self.kind = "<u2" if len(vocabulary.spelled) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.held = 0
         line = "\n" if vocabulary.line else ""
         self.words = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{MARK}*{line}" if line else "")) if vocabulary.apart else re.compile(".+", re.S)
         self.mark_ids = vocabulary.bytes_[list(_MARK_BYTES)].astype(self.kind).tobytes()
@@ -230,43 +235,64 @@ class Codec:
             t = t or ""
             parts = t.split(MARK) if MARK in t else [t]
             split.append([self.words.findall((MARK if k == 0 else "") + p.replace(" ", MARK)) for k, p in enumerate(parts)] if t else [])
-        known = self.known
-        new = list({w for parts in split for ws in parts for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list({w for parts in split for ws in parts for w in ws})
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            for w, ids in zip(some, segment([w.encode() for w in some], self.v), strict=True):
-                known[w] = ids.astype(self.kind).tobytes()
-        return [np.frombuffer(self.mark_ids.join(b"".join(map(known.__getitem__, ws)) for ws in parts), self.kind) for parts in split]
+        if self.held > REMEMBER:
+            self.known, self.held = {}, 0
+        known, rare = self.known, {}
+        some, size = [], 0
+        for w in {w for parts in split for ws in parts for w in ws if w not in known}:
+            some.append(w)
+            size += len(w)
+            if size > AT_ONCE:
+                self._learn(some, rare)
+                some, size = [], 0
+        self._learn(some, rare)
+        look = (lambda w: rare[w] if w in rare else known[w]) if rare else known.__getitem__
+        return [np.frombuffer(self.mark_ids.join(b"".join(map(look, ws)) for ws in parts), self.kind) for parts in split]
+
+    def _learn(self, words: list[str], rare: dict[str, bytes]) -> None:
+        """Segment words; very long ones are not remembered beyond the batch."""
+        for w, ids in zip(words, segment([w.encode() for w in words], self.v), strict=True):
+            if len(w) > LONG:
+                rare[w] = ids.astype(self.kind).tobytes()
+            else:
+                self.known[w] = ids.astype(self.kind).tobytes()
+                self.held += 200 + 2 * len(w)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.v.spelled.__getitem__, ids.tolist()))
         return raw[1 if raw[:1] == b" " else 0 :].decode("utf-8", errors="replace")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "piece_ids", decoded: str | None = "decoded") -> DataFrame:
-    """docs with the piece ids of the text, and the text that they decode to (not if `decoded` is None)."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "piece_ids", decoded: str | None = "decoded", lossless: str | None = None) -> DataFrame:
+    """docs with the piece ids of the text; the text that they decode to, and whether that is the text (null: empty),
+    where a name is given for it. A name that docs has already gets a number behind it."""
     spark = docs.sparkSession
-    small_batches(spark)
-    kept = [c for c in docs.columns if c not in (ids, decoded)]
-    df = docs.select(*[f"`{c}`" for c in kept])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    bounded_batches(spark)
+    names: list[str] = []
+    for n in (ids, decoded, lossless):
+        names.append(n and free(n, [*docs.columns, *filter(None, names)]))
+    ids, decoded, lossless = names
+    schema = extended(docs, (ids, "array<int>"), *[(decoded, "string")] * bool(decoded), *[(lossless, "boolean")] * bool(lossless))
+    place = docs.columns.index(text)
     shared = spark.sparkContext.broadcast(vocabulary)  # a fixed file, some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            coded = codec.encode_batch(batch.column(len(kept)).to_pylist())
+            texts = batch.column(place).cast(pa.string()).fill_null("").to_pylist()
+            coded = codec.encode_batch(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
             flat = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
-            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            if decoded:
-                columns.append(pa.array([codec.decode(x) for x in coded], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [*kept, ids, *([decoded] if decoded else [])])
+            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded or lossless:
+                back = [codec.decode(x) for x in coded]
+                if decoded:
+                    columns.append(pa.array(back, pa.string()))
+                if lossless:
+                    columns.append(pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def default_vocabulary() -> Vocabulary:
@@ -277,7 +303,7 @@ def default_vocabulary() -> Vocabulary:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, by number and crc32 (ids as little-endian 32-bit integers), and what they decode to."""
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(default_vocabulary())
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"]
 
@@ -299,4 +325,4 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
