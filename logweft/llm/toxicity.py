@@ -7,12 +7,15 @@ its occurrences, divided by the number of words, reach the entry's level: words
 0, beginnings that clean texts have now and then a higher one. The sum of the weights and the sum of weighted
 occurrences per word go through a logistic curve.
 
-Entries, weights, exception phrases and the curve are learned from at most SAMPLE labelled ids of each class, those
-with the smallest hash; an id with several texts gives the one with the smallest hash, so copies push nothing out. Of a
-long text, the first SAMPLE_CHARS code points count. Scoring reads whole texts.
-
-Defined cases: null, empty and signs-only texts score as texts without matches; without toxic labels the lexicon is
-empty and every score is 0; null labels are left out; repeated rows are scored alike; extra columns are kept.
+Entries, weights, exception phrases and the curve are learned from the whole texts of at most SAMPLE labelled ids of
+each class, those with the smallest hash; an id with several texts gives the one with the smallest hash, so copies push
+nothing out. Executors count fragments and phrases; the driver gets counts of what toxic texts share, for each toxic
+text the numbers of those fragments, and two figures a text for the curve.
+
+Defined cases: null, empty and signs-only texts score as texts without matches; without labels of both kinds the
+lexicon is empty and every score is 0; null labels are left out, and an id with both labels is toxic; repeated rows are
+scored alike; of entries that stand out alike the shorter, then the later in order is taken; an empty table gives an
+empty one; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import bounded_batches, cut, drop, extended, free, table, tidy
 
-#: Labelled ids of each class to learn from, and the part of a text that is used for that.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Labelled ids of each class to learn from, and texts whose fragments are counted at once.
+SAMPLE, AT_ONCE = 2000, 100
 #: Lengths of word beginnings; least documents, share of the toxic ones and log-odds of an entry; the limit of a toxic score.
 PREFIXES, LEAST, SHARE, ODDS, LIMIT = (4, 5, 6, 7, 8), 3, 0.02, 2.0, 0.7
 #: Levels: occurrences per word that an entry can ask for.
@@ -129,39 +132,22 @@ class Scorer:
 MOST = 8.0
 
 
-def fit(rows: Iterable[tuple[str, int]]) -> Model:
-    """Learn from (text, 0 or 1)."""
-    folded = [(fold(t), y) for t, y in rows]
-    toxic = sum(y for _, y in folded)
-    clean = len(folded) - toxic
-    if not toxic or not clean:
-        return Model()
-    # Fragments have numbers, so that a text is a small array and each fragment is held once.
-    number: dict[tuple[str, int], int] = {}
-    texts = [np.array([number.setdefault(x, len(number)) for x in fragments(t)], np.int32) for t, y in folded if y]
-    times = np.bincount(np.concatenate(texts), minlength=len(number))
-    known = [x for x, k in number.items() if times[k] >= LEAST]
-    place = np.full(len(number), -1, np.int32)
-    place[[number[x] for x in known]] = np.arange(len(known))
-    number = {x: k for k, x in enumerate(known)}
-    texts = [p[p >= 0] for p in (place[t] for t in texts)]
-    seen = {1: times[times >= LEAST], 0: np.zeros(len(known), np.int64)}
-    for t, y in folded:
-        if not y:
-            seen[0][[number[x] for x in fragments(t) if x in number]] += 1
-    bar = 2 * math.log(max(2, len(known)))
+def _strength(p: np.ndarray, n: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds, and how far p of `toxic` texts is from chance given n of `clean` ones (twice the log-likelihood ratio)."""
+    rate = (p + n) / (toxic + clean)
+    odds = np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))
+    return odds, 2 * (p * np.log(np.maximum(p, 1) / toxic / rate) + n * np.log(np.maximum(n, 1) / clean / rate))
 
-    def strength(p: np.ndarray, n: np.ndarray, of: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds, and how far p of `of` toxic texts is from chance given n clean ones (twice the log-likelihood ratio)."""
-        rate = (p + n) / (of + clean)
-        odds = np.log((p + 0.5) / (of + 1)) - np.log((n + 0.5) / (clean + 1))
-        return odds, 2 * (p * np.log(p / of / rate) + n * np.log(np.maximum(n, 1) / clean / rate))
 
+def choose(known: list[tuple[str, int]], p: np.ndarray, n: np.ndarray, texts: list[np.ndarray], clean: int) -> dict[str, dict[int, float]]:
+    """Entries and their weights. known: fragments, which p toxic and n clean texts have; texts: of each toxic text the
+    places of its fragments in `known`."""
     weights: dict[str, dict[int, float]] = {}
-    chosen: set[int] = set()
+    toxic, chosen = len(texts), set()
+    bar = 2 * math.log(max(2, len(known)))
     # Entries that stand out among all toxic texts; of beginnings that say the same, the shortest.
-    odds, far = strength(seen[1], seen[0], toxic)
-    good = np.flatnonzero((seen[1] >= max(LEAST, SHARE * toxic)) & (odds >= ODDS) & (far >= 2 * bar))
+    odds, far = _strength(p, n, toxic, clean)
+    good = np.flatnonzero((p >= max(LEAST, SHARE * toxic)) & (odds >= ODDS) & (far >= 2 * bar))
     for k in sorted(good.tolist(), key=lambda k: (len(known[k][0]), known[k])):
         x, i = known[k]
         near = [w for j in range(2, len(x)) for w in weights.get(x[:j], {}).values()] + list(weights.get(x, {}).values())
@@ -173,7 +159,7 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
     while left:
         counts = np.bincount(np.concatenate(left), minlength=len(known))
         some = np.flatnonzero(counts >= LEAST)
-        odds, far = strength(counts[some], seen[0][some], len(left))
+        odds, far = _strength(counts[some], n[some], len(left), clean)
         far = np.where(odds >= ODDS, far, 0.0)
         if not len(far) or far.max() < bar:
             break
@@ -181,27 +167,96 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
         k = int(some[at])
         weights.setdefault(known[k][0], {})[known[k][1]] = float(odds[at])
         left = [t for t in left if k not in t]
-    # A phrase of an entry and the next or previous word is an exception if clean texts have it and no toxic one does.
-    entries = Scorer(Model(weights))
-    phrases = {1: Counter(), 0: Counter()}
-    for t, y in folded:
-        if entries.matches(t):
-            ws = t.split()
-            hits = [bool(entries.matches(f" {w} ")) for w in ws]
-            phrases[y].update({f" {ws[i]} {ws[i + 1]} " for i in range(len(ws) - 1) if hits[i] or hits[i + 1]})
-    exceptions = tuple(sorted(x for x, n in phrases[0].items() if n >= LEAST and not phrases[1][x]))
-    scorer = Scorer(Model(weights, exceptions))
-    x = np.array([(1.0, *scorer.features(t)) for t, _ in folded])
-    y = np.array([float(y) for _, y in folded])
+    return weights
+
+
+def curve_of(features: list[tuple[float, float, int]]) -> tuple[float, float, float]:
+    """The logistic curve over (sum, sum by length, label): Newton's method with a small ridge."""
+    x = np.array([(1.0, a, b) for a, b, _ in features])
+    y = np.array([float(y) for *_, y in features])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    beta = np.zeros(3)
-    ridge = np.array([0, 0.05, 0.05])
-    for _ in range(50):  # Newton's method with a small ridge
+    beta, ridge = np.zeros(3), np.array([0, 0.05, 0.05])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip((x / scale) @ beta, -60, 60)))
         grad = (x / scale).T @ (p - y) + ridge * beta
         hess = ((x / scale) * (p * (1 - p))[:, None]).T @ (x / scale) + np.diag(ridge + 1e-6)
         beta -= np.clip(np.linalg.solve(hess, grad), -5, 5)
-    return Model(weights, exceptions, tuple(float(v) for v in beta / scale))
+    return tuple(float(v) for v in beta / scale)
+
+
+def phrases_of(folded: str, entries: Scorer) -> set[str]:
+    """Each entry of a folded text with the word before, and with the word after."""
+    words = folded.split()
+    hit = {w: bool(entries.matches(f" {w} ")) for w in set(words)}
+    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if hit[a] or hit[b]}
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: the fragments of a text are many times as large as it."""
+    for batch in batches:
+        for a in range(0, len(batch), AT_ONCE):
+            yield batch.slice(a, AT_ONCE)
+
+
+def fit(rows: DataFrame) -> Model:
+    """Learn from rows (doc_id, text, toxic 0 or 1)."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    sizes = dict(rows.groupBy("toxic").count().collect())
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return Model()
+    schema = "x string, i int, p long, n long"
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            seen = {1: Counter(), 0: Counter()}
+            for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[y].update(fragments(fold(t)))
+            every = list(seen[1] | seen[0])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in every], pa.string()), pa.array([i for _, i in every], pa.int32()), *(pa.array([seen[y][k] for k in every], pa.int64()) for y in (1, 0))], ["x", "i", "p", "n"])
+
+    table_ = rows.mapInArrow(tidy(counted), schema).groupBy("x", "i").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(F.col("p") >= LEAST).orderBy("x", "i").toArrow()
+    known = list(zip(table_["x"].to_pylist(), table_["i"].to_pylist(), strict=True))
+    p, n = (table_[c].to_numpy().astype(np.int64) for c in ("p", "n"))
+    shared = spark.sparkContext.broadcast(known)  # what LEAST of at most SAMPLE texts share
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: k for k, x in enumerate(shared.value)}
+        for batch in _slices(batches):
+            found = [sorted(place[x] for x in fragments(fold(t)) if x in place) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "found"])
+
+    found = rows.filter("toxic = 1").mapInArrow(tidy(placed), "doc_id long, found array<int>").orderBy("doc_id").toArrow()
+    texts = [x.values.to_numpy().astype(np.int64) for x in found["found"]]
+    weights = choose(known, p, n, texts, clean)
+    shared.unpersist()
+    if not weights:
+        return Model()
+
+    def phrased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = Scorer(Model(weights))
+        for batch in batches:
+            seen = {1: Counter(), 0: Counter()}
+            for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                folded = fold(t)
+                if entries.matches(folded):
+                    seen[y].update(phrases_of(folded, entries))
+            every = list(seen[1] | seen[0])
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.nulls(len(every), pa.int32()), *(pa.array([seen[y][k] for k in every], pa.int64()) for y in (1, 0))], ["x", "i", "p", "n"])
+
+    # A phrase of an entry and the next or previous word is an exception if clean texts have it and no toxic one does.
+    harmless = rows.mapInArrow(tidy(phrased), schema).groupBy("x").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter((F.col("p") == 0) & (F.col("n") >= LEAST)).orderBy("x").toArrow()
+    lexicon = Model(weights, tuple(harmless["x"].to_pylist()))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            two = [scorer.features(fold(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in two], pa.float64()) for k in (0, 1)), batch.column(2)], ["doc_id", "a", "b", "toxic"])
+
+    features = rows.mapInArrow(tidy(measured), "doc_id long, a double, b double, toxic int").orderBy("doc_id").select("a", "b", "toxic").collect()
+    return Model(weights, lexicon.exceptions, curve_of([tuple(r) for r in features]))
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -210,45 +265,43 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled rows that are not held out. Ids are chosen first, so few texts move."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = {}
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids: dict[int, int] = {}
     for y in (1, 0):
         rows = known.filter(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
         ids |= {r[0]: y for r in rows}
     if not ids:
-        return fit([])
+        return Model()
     # Nulls have no place, so an id gives its empty text only where it has no other.
-    place = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
-    texts = docs.filter(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.coalesce(F.min_by(F.substring("text", 1, SAMPLE_CHARS), place), F.lit("")).alias("text")).collect()
-    return fit([(r.text, ids[r.doc_id]) for r in sorted(texts)])
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", limit: float = LIMIT) -> DataFrame:
-    """docs with a score from 0 to 1 and `<out>_toxic` (0 or 1); the text column is kept."""
-    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    place = F.when(text.isNotNull(), F.xxhash64(text))
+    rows = docs.filter(F.col("doc_id").isin(list(ids))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by(text, place).alias("text"))
+    rows = rows.withColumn("toxic", F.col("doc_id").isin([i for i, y in ids.items() if y]).cast("int"))
+    rows, path = cut(rows, "toxicity-sample")
+    model = fit(rows)
+    drop(docs.sparkSession, path)
+    return model
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", flag: str = "toxic", limit: float = LIMIT) -> DataFrame:
+    """docs with a score from 0 to 1 and whether it reaches the limit (0 or 1), in columns `out` and `flag`; a name that
+    docs has already gets a number behind it."""
+    bounded_batches(docs.sparkSession)
+    out = free(out, docs.columns)
+    flag = free(flag, [*docs.columns, out])
+    schema, place = extended(docs, (out, "double"), (flag, "int")), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= limit) for s in scores], pa.int32())], [*batch.schema.names[:-1], out, f"{out}_toxic"])
+            scores = [scorer.score(t) for t in batch.column(place).cast(pa.string()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= limit) for s in scores], pa.int32())], schema.names)
 
-    kept = [c for c in docs.columns if c not in (out, f"{out}_toxic")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
-    return docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, f"{schema}, `{out}` double, `{out}_toxic` int")
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs, table(spark, sf_dir, "labels"))
-    small_batches(spark)
-    names = ["doc_id", "held_out", "score", "predicted"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= LIMIT) for s in scores], pa.int32())], names)
-
-    return docs.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), out="score", flag="predicted")
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
