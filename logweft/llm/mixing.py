@@ -9,7 +9,8 @@ A target of up to twice a source's size is met by taking every document once and
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; documents of size 0 are
 kept by the threshold like any other and count 0 words; equal hashes (repeated ids) are taken or left together; an
-empty table gives an empty result. Extra columns are kept by mix().
+empty table gives an empty result. Extra columns are kept by mix(), whatever their names. The figures of all sources
+are ordered in one task, a row for each source.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, quoted, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in their order, repeating; the share of all words that the mix takes, as a fraction; the most that a document is taken.
@@ -61,79 +62,81 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int
     return df.select("__source", "__total", F.coalesce("__target", F.lit(0.0)).alias("__target"))
 
 
-def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
-    """docs (__source, __size, __hash); goals (__source, __goal: words to take below the threshold).
+#: A table of sources is broadcast up to this many rows, else joined by shuffle.
+SOURCES = 10_000
+
+
+def thresholds(docs: DataFrame, goals: DataFrame, small: bool) -> tuple[DataFrame, str]:
+    """docs (__source, __size, __hash); goals (__source, __goal: words to take below the threshold); small: goals may be
+    broadcast.
 
-    Returns __source and __limit: hashes below it hold at most __goal words, and one more cell would hold more."""
+    Returns __source and __limit: hashes below it hold at most __goal words, and one more cell would hold more; and the
+    path of the table that this is read from."""
     spark = docs.sparkSession
+    sent = F.broadcast if small else lambda df: df
     at = goals.select("__source", "__goal", F.lit(0).cast("long").alias("__limit"), F.lit(True).alias("__more"))
     inside, paths = docs, []
     for shift in range(BITS - STEP, -1, -STEP):
         cells = inside.groupBy("__source", F.shiftright("__hash", shift).alias("__cell")).agg(F.sum("__size").alias("__words"))
         upto = Window.partitionBy("__source").orderBy("__cell")
         cells = cells.withColumn("__upto", F.sum("__words").over(upto))
-        found = cells.join(F.broadcast(at.select(F.col("__source").alias("__s"), "__goal", "__more")) if _small(at) else at.select(F.col("__source").alias("__s"), "__goal", "__more"), F.col("__source").eqNullSafe(F.col("__s")))
+        found = cells.join(sent(at.select(F.col("__source").alias("__s"), "__goal", "__more")), F.col("__source").eqNullSafe(F.col("__s")))
         # The boundary cell: the first that goes over the goal. Without one, all that is inside is taken.
         step = found.filter("__more").groupBy("__source").agg(F.min(F.when(F.col("__upto") > F.col("__goal"), F.col("__cell"))).alias("__b"), F.max(F.when(F.col("__upto") <= F.col("__goal"), F.col("__upto"))).alias("__got"))
         step = step.select(F.col("__source").alias("__s"), "__b", F.coalesce("__got", F.lit(0)).alias("__got"))
-        at = at.join(step, F.col("__source").eqNullSafe(F.col("__s")), "left").select(
+        at = at.join(sent(step), F.col("__source").eqNullSafe(F.col("__s")), "left").select(
             "__source",
             (F.col("__goal") - F.coalesce("__got", F.lit(0))).alias("__goal"),
             F.when(F.col("__b").isNotNull(), F.shiftleft("__b", shift)).when(F.col("__more"), F.lit(1 << BITS)).otherwise(F.col("__limit")).alias("__limit"),
             (F.col("__more") & F.col("__b").isNotNull()).alias("__more"),
         )
-        at, path = cut(at.coalesce(1), "mix-limits")
+        at, path = cut(at.coalesce(1) if small else at, "mix-limits")
         paths.append(path)
         if shift:
             edge = at.filter("__more").select(F.col("__source").alias("__s"), F.shiftright("__limit", shift).alias("__b"))
-            inside = inside.join(edge, F.col("__source").eqNullSafe(F.col("__s")) & (F.shiftright("__hash", shift) == F.col("__b"))).select("__source", "__size", "__hash")
-    return at.select("__source", "__limit")
-
-
-#: A table of sources is broadcast up to this many rows, else joined by shuffle.
-SOURCES = 10_000
-
-
-def _small(df: DataFrame) -> bool:
-    return df.limit(SOURCES + 1).count() <= SOURCES
-
-
-def _match(df: DataFrame, side: DataFrame) -> DataFrame:
-    side = side.withColumnRenamed("__source", "__s")
-    return df.join(F.broadcast(side) if _small(side) else side, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+            inside = inside.join(sent(edge), F.col("__source").eqNullSafe(F.col("__s")) & (F.shiftright("__hash", shift) == F.col("__b"))).select("__source", "__size", "__hash")
+    drop(spark, *paths[:-1])
+    return at.select("__source", "__limit"), paths[-1]
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text, source) -> (one row for each: doc_id, __source, __size, __hash; one row for each source: __total, __target, __base, __limit)."""
+    """docs (doc_id, text, source) -> (one row for each: doc_id, __source, __size, __hash; one row for each source, which
+    may be marked for broadcast: __s, __total, __target, __base, __limit)."""
+    spark = docs.sparkSession
     base = docs.select("doc_id", F.col("source").alias("__source"), size_of(F.col("text")).alias("__size"), hash_of(F.col("doc_id")).alias("__hash"))
     base, _ = cut(base, "mix-sizes")
     totals = targets(base.groupBy("__source").agg(F.sum("__size").alias("__total")), weights, share, most)
     # Copies that every document gives, and the words that those below the threshold add.
     totals = totals.withColumn("__base", F.when(F.col("__total") > 0, F.least(F.lit(most - 1), F.floor(F.col("__target") / F.col("__total")))).otherwise(0).cast("long"))
-    totals, _ = cut(totals.withColumn("__goal", F.col("__target") - F.col("__base") * F.col("__total")).coalesce(1), "mix-targets")
-    limits = thresholds(base.select("__source", "__size", "__hash"), totals.select("__source", "__goal"))
-    return base, _match(totals, limits.select("__source", "__limit")).drop("__goal")
+    totals, totals_path = cut(totals.withColumn("__goal", F.col("__target") - F.col("__base") * F.col("__total")), "mix-targets")
+    small = totals.count() <= SOURCES
+    limits, limits_path = thresholds(base.select("__source", "__size", "__hash"), totals.select("__source", "__goal"), small)
+    limits = limits.withColumnRenamed("__source", "__s")
+    sources, _ = cut(totals.join(F.broadcast(limits) if small else limits, F.col("__source").eqNullSafe(F.col("__s")), "left").select(F.col("__source").alias("__s"), "__total", "__target", "__base", "__limit"), "mix-sources")
+    drop(spark, totals_path, limits_path)
+    return base, F.broadcast(sources) if small else sources
 
 
-def copies(base: DataFrame, sources: DataFrame) -> DataFrame:
-    """base with its source's figures and __copies: how often the mix takes the document."""
-    return _match(base, sources).withColumn("__copies", F.col("__base") + F.when(F.col("__hash") < F.col("__limit"), 1).otherwise(0))
+def _copies(hash_: Column) -> Column:
+    """How often the mix takes a document, by its source's figures."""
+    return F.col("__base") + F.when(hash_ < F.col("__limit"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
     """The mixed documents, each as often as it is taken; the columns of docs."""
-    _, sources = plan(docs, weights, share, most)
-    marked = docs.withColumn("__source", F.col("source")).withColumn("__hash", hash_of(F.col("doc_id")))
-    taken = copies(marked, sources)
+    _, sources = plan(docs.select("doc_id", "text", "source"), weights, share, most)
+    # The whole row as one value, so that none of its names can clash.
+    whole = docs.select(F.struct(*quoted(*docs.columns)).alias("__row"))
+    taken = whole.join(sources, F.col("__row.source").eqNullSafe(F.col("__s")), "left").withColumn("__copies", _copies(hash_of(F.col("__row.doc_id"))))
     times = reduce(lambda c, k: F.when(F.col("__copies") >= k, F.array(*[F.lit(i) for i in range(k)])).otherwise(c), range(1, most + 1), F.array().cast("array<int>"))
-    return taken.filter("__copies > 0").withColumn("__k", F.explode(times)).select(*[f"`{c}`" for c in docs.columns])
+    return taken.filter("__copies > 0").select("__row", F.explode(times)).select("__row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     base, sources = plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    out = copies(base, sources)
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    out = base.join(sources, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * _copies(F.col("__hash"))).alias("taken"))
 
 
 SQL = f"""

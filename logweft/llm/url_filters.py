@@ -2,12 +2,17 @@
 
 Labelled page outcomes are counted by host, and shrunk down a chain of beta-binomial priors: all pages -> suffix ->
 registered domain -> host. How strongly each level pulls is estimated from the counts (the moment estimator of the
-intra-class correlation). A host passes if the lower bound of its posterior reaches a limit.
+intra-class correlation). A host passes if the lower bound of its posterior reaches a limit; the bound is that of the
+normal distribution with the posterior's mean and variance.
 
-Defined cases: a null url, or one without "://", has an empty host and path; such pages share the host "". A host
-without outcomes gets the posterior of its domain, a domain without outcomes that of its suffix, and so on up to the
-mean of all outcomes (0.5 without any). Null outcomes don't count; repeated rows count each time. Extra columns of
-pages are kept by the general interface and never clash, as every working column begins with two underscores.
+Defined cases: a null url, or one without "://", has an empty host and path; such pages share the host "". An IPv4
+address is its own domain and suffix. A host without outcomes gets the posterior of its domain, a domain without
+outcomes that of its suffix, and so on up to the mean of all outcomes (0.5 without any). Null outcomes don't count;
+repeated rows count each time; of rules of one length the first in the order of their texts counts; an empty table gives
+an empty one. Extra columns of pages are kept by judge(), and its own get a number behind where a name is taken.
+
+A host's verdict is joined to its pages: sent to all tasks if there are at most HOSTS hosts, else by a join on the host,
+which adaptive execution splits where one host has a large share of the pages.
 """
 
 from __future__ import annotations
@@ -17,26 +22,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, free, quoted, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A registered domain has one label more than its suffix. Suffixes of two labels, by their usual second level.
+IPV4 = r"^[0-9]+(\.[0-9]+){3}$"
 SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Normal quantile of the bound, the limit that it must reach, and bounds of the prior's weight in pages.
 Z, LIMIT, WEIGHT = 1.645, 0.6, (2.0, 1000.0)
-#: Each host's verdict is dealt to so many join keys, so that a host with a third of all pages is no single key.
-SALTS = 8
+#: Verdicts are sent to all tasks for so many hosts at most.
+HOSTS = 200_000
 
 
-def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Adds __host and __path."""
-    df = pages.withColumn("__url", F.col(f"`{url}`").cast("string"))
-    rest = F.expr("CASE WHEN instr(__url, '://') > 0 THEN substring(__url, instr(__url, '://') + 3) END")
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    url = url.cast("string")
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
-    path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    return df.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__path", F.coalesce(path, F.lit(""))).drop("__url")
+    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -51,7 +56,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def _levels(df: DataFrame) -> DataFrame:
-    labels = F.split(F.regexp_replace("__host", ":[0-9]*$", ""), "\\.")
+    host = F.regexp_replace("__host", ":[0-9]*$", "")
+    labels = F.when(host.rlike(IPV4), F.array(host)).otherwise(F.split(host, "\\."))
     n = F.size(labels)
     two = (n > 2) & F.element_at(labels, -2).isin(*SECOND_LEVELS) & (F.length(F.element_at(labels, -1)) == 2)
     k = F.when(two, 2).otherwise(1)
@@ -73,7 +79,8 @@ def _weight(groups: DataFrame, name: str) -> DataFrame:
 def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
     """hosts (__host): all hosts to judge, once each; outcomes (__host, good 0/1). Returns __host, __n, __mean, __bound, __verdict."""
     by_host = outcomes.filter(F.col("good").isNotNull()).groupBy("__host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("y"))
-    by_host = _levels(by_host)
+    # Read by each level and each prior: written once.
+    by_host, _ = cut(_levels(by_host), "hosts-outcomes")
     by_domain = by_host.groupBy("__domain", "__suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     by_suffix = by_domain.groupBy("__suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     every = by_suffix.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).select(F.coalesce(F.expr("try_divide(y, n)"), F.lit(0.5)).alias("__p"))
@@ -92,21 +99,28 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z, limit: float
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """pages with __host, __path, __rule, __verdict, __mean, __bound. outcomes: (__host, good)."""
-    df = with_host_path(pages, url)
+    """pages with host, path, rule, verdict, mean, bound. outcomes: (__host, good)."""
+    # The whole row as one value, so that none of its names can clash.
+    host, path = host_and_path(F.col(quoted(url)[0]))
+    df = pages.select(F.struct(*quoted(*pages.columns)).alias("__row"), host.alias("__host"), path.alias("__path"))
     rule, said = rule_of(F.col("__host"), F.col("__path"), rules)
-    df = df.withColumn("__rule", rule).withColumn("__said", said)
-    known = reputation(df.select("__host").distinct(), outcomes, z, limit)
-    known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("__host", *[c for c in pages.columns if c == "page_id"] or ["__path"], "__path"), F.lit(SALTS)).cast("int")
-    out = df.withColumn("__salt", salt).join(known, ["__host", "__salt"], "left")
-    return out.withColumn("__verdict", F.coalesce("__said", "__verdict")).drop("__said", "__salt", "__n")
+    df = df.select("*", rule.alias("__rule"), said.alias("__said"))
+    known, _ = cut(reputation(df.select("__host").distinct(), outcomes, z, limit), "hosts-verdicts")
+    if known.limit(HOSTS + 1).count() <= HOSTS:
+        known = F.broadcast(known)
+    out, names = df.join(known, "__host", "left").withColumn("__verdict", F.coalesce("__said", "__verdict")), list(pages.columns)
+    new = []
+    for n in ("host", "path", "rule", "verdict", "mean", "bound"):
+        new.append(free(n, names))
+        names.append(new[-1])
+    return out.select("__row.*", *[F.col(f"__{n}").alias(m) for n, m in zip(("host", "path", "rule", "verdict", "mean", "bound"), new, strict=True)])
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(__host, good): the quality label of the document whose number stands behind the page's language folder."""
+    host, path = host_and_path(F.col("url"))
     number = F.expr("try_cast(regexp_extract(__path, '^/[^/]*/([0-9]+)', 1) AS BIGINT)")
-    numbered = with_host_path(pages).select("__host", number.alias("__doc"))
+    numbered = pages.select(host.alias("__host"), path.alias("__path")).select("__host", number.alias("__doc"))
     return numbered.join(labels.select(F.col("doc_id").alias("__doc"), F.col("quality").alias("good")), "__doc").select("__host", "good")
 
 
@@ -114,7 +128,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
-    return out.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def _level_sql() -> str:
@@ -140,7 +154,8 @@ WITH cutoff AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url
 parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cutoff),
 outcomes AS (SELECT host, quality AS good FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '^/[^/]*/([0-9]+)', 1), '') AS BIGINT) AS doc FROM parts) p JOIN labels ON doc_id = doc WHERE quality IS NOT NULL),
-split_hosts AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM (SELECT DISTINCT host FROM parts)),
+split_hosts AS (SELECT host, CASE WHEN regexp_matches(bare, '{IPV4}') THEN [bare] ELSE string_split(bare, '.') END AS l
+  FROM (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS bare FROM parts)),
 hosts AS (SELECT host, {_level_sql()} FROM split_hosts),
 by_host AS (SELECT host, domain, suffix, n, y FROM (SELECT host, count(*) n, sum(good)::BIGINT y FROM outcomes GROUP BY host) JOIN hosts USING (host)),
 by_domain AS (SELECT domain, suffix, sum(n) n, sum(y) y FROM by_host GROUP BY domain, suffix),
