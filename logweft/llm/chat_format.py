@@ -12,8 +12,10 @@ The output is one row a turn: its formatted segment and the span under the mask,
 segments of a conversation, in order, are the conversation; so no row and no task must hold a whole one.
 
 Defined cases: null roles and texts are empty; rows of a linear conversation are ordered by turn (null first), role
-and text, so ties and repeated rows are kept, each as a turn; an empty table gives no rows; a parent that doesn't
-exist makes a root; extra columns are ignored.
+and text, so ties and repeated rows are kept, each as a turn; of a tree's messages with one id, the one with the least
+parent, score, role and text counts (null first); an empty table gives no rows; a parent that doesn't exist makes a
+root; parents that form a cycle are a ValueError; equal scores are ranked by depth, then by id; extra columns are
+ignored. A conversation's digest is one running hash, so one task reads its segments, one batch at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, partitions, small_batches, table
+from .common import bounded_batches, cut, drop, partitions, table, tidy
 
 # The template's control strings.
 HEAD, HEAD_END, END = "### ", ":\n", "</turn>\n"
@@ -80,9 +82,16 @@ def _key(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """nodes (conv_id, __id, __parent, __score) -> the nodes on the `keep` best root-to-leaf paths of each tree:
-    conv_id, __id, __path (rank from 1), __depth (0 at the root). A path's score is the sum of its messages' scores."""
+def unique(nodes: DataFrame) -> DataFrame:
+    """Of messages with one id the least."""
+    one = F.min(F.struct("__parent", "__score", "role", "text"))
+    return nodes.groupBy("conv_id", "__id").agg(one.alias("__one")).select("conv_id", "__id", "__one.*")
+
+
+def best_paths(nodes: DataFrame, keep: int = 1) -> tuple[DataFrame, str]:
+    """nodes (conv_id, __id, __parent, __score), each id once -> the nodes on the `keep` best root-to-leaf paths of each
+    tree: conv_id, __id, __path (rank from 1), __depth (0 at the root); and the path of the table that it is read from.
+    A path's score is the sum of its messages' scores."""
     spark, paths = nodes.sparkSession, []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -93,21 +102,26 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     base = nodes.select("conv_id", "__id", "__parent", F.coalesce("__score", F.lit(0.0)).alias("__score"))
     known = base.select(F.col("conv_id").alias("__c"), F.col("__id").alias("__p"))
     # A parent that doesn't exist makes a root.
-    base = base.join(known.distinct(), _key("conv_id", "__c") & (F.col("__parent") == F.col("__p")), "left").select("conv_id", "__id", F.col("__p").alias("__up"), "__score")
+    base = base.join(known, _key("conv_id", "__c") & (F.col("__parent") == F.col("__p")), "left").select("conv_id", "__id", F.col("__p").alias("__up"), "__score")
     # __up: the ancestor 2^k steps up; __depth, __sum: over what lies between, itself included.
-    reach = kept(base.withColumn("__depth", F.when(F.col("__up").isNotNull(), 1).otherwise(0)).withColumn("__sum", F.col("__score")).withColumn("__first", F.col("__up")))
-    rounds = 0
-    while reach.filter("__up IS NOT NULL").limit(1).count():
-        if rounds > 62:
+    depth = F.when(F.col("__up").isNotNull(), 1).otherwise(0).cast("long")
+    climbing = kept(base.select("conv_id", "__id", "__up", depth.alias("__depth"), F.col("__score").alias("__sum"), F.col("__up").alias("__first")))
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    rounds, arrived = 0, climbing.filter("__up IS NULL")
+    # Only messages that haven't reached their root go on and are written again.
+    while (climbing := climbing.filter("__up IS NOT NULL")).limit(1).count():
+        if 1 << rounds > most:
+            drop(spark, *paths)
             raise ValueError("the parents form a cycle")
         rounds += 1
-        above = reach.select(F.col("conv_id").alias("__c"), F.col("__id").alias("__i"), F.col("__up").alias("__u2"), F.col("__depth").alias("__d2"), F.col("__sum").alias("__s2"))
-        # Only messages that haven't reached their root go on, so one deep tree doesn't make work for all others.
-        climbing, arrived = reach.filter("__up IS NOT NULL"), reach.filter("__up IS NULL")
-        climbed = climbing.join(above, _key("conv_id", "__c") & (F.col("__up") == F.col("__i")), "left").select(
-            "conv_id", "__id", F.col("__u2").alias("__up"), "__score", (F.col("__depth") + F.coalesce("__d2", F.lit(0))).alias("__depth"), (F.col("__sum") + F.coalesce("__s2", F.lit(0.0))).alias("__sum"), "__first"
+        above = arrived.union(climbing).select(F.col("conv_id").alias("__c"), F.col("__id").alias("__i"), F.col("__up").alias("__u2"), F.col("__depth").alias("__d2"), F.col("__sum").alias("__s2"))
+        climbing = kept(
+            climbing.join(above, _key("conv_id", "__c") & (F.col("__up") == F.col("__i"))).select(
+                "conv_id", "__id", F.col("__u2").alias("__up"), (F.col("__depth") + F.col("__d2")).alias("__depth"), (F.col("__sum") + F.col("__s2")).alias("__sum"), "__first"
+            )
         )
-        reach = kept(arrived.select(*climbed.columns).union(climbed))
+        arrived = arrived.union(climbing.filter("__up IS NULL"))
+    reach = arrived
     parents = reach.filter("__first IS NOT NULL").select(F.col("conv_id").alias("__c"), F.col("__first").alias("__f")).distinct()
     leaves = reach.join(parents, _key("conv_id", "__c") & (F.col("__id") == F.col("__f")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("__sum"), F.desc("__depth"), F.asc("__id")))
@@ -124,20 +138,23 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     out = marks.join(depth, _key("conv_id", "__c") & (F.col("__id") == F.col("__i"))).select("conv_id", "__id", "__path", "__depth")
     out, last = cut(out, "chat-chosen")
     drop(spark, *paths)
-    return out
+    return out, last
 
 
-def format_turns(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """nodes (conv_id, __id, __parent, __score, role, text) -> conv_id, path, seq, segment, loss_start, loss_end."""
-    chosen = best_paths(nodes, keep).select(F.col("conv_id").alias("__c"), F.col("__id").alias("__i"), "__path", "__depth")
+def format_turns(nodes: DataFrame, keep: int = 1) -> tuple[DataFrame, str]:
+    """nodes (conv_id, __id, __parent, __score, role, text), each id once -> conv_id, path, seq, segment, loss_start,
+    loss_end; and the path of a table that it is read from, for drop()."""
+    chosen, chosen_path = best_paths(nodes, keep)
+    chosen = chosen.select(F.col("conv_id").alias("__c"), F.col("__id").alias("__i"), "__path", "__depth")
     text = nodes.join(chosen, _key("conv_id", "__c") & (F.col("__id") == F.col("__i")))
-    head = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(HEAD_END))
-    body = escape(F.col("text"))
-    masked = F.col("role") == ASSISTANT
+    role = F.coalesce("role", F.lit(""))
+    head = F.concat(F.lit(HEAD), escape(role, role=True), F.lit(HEAD_END))
+    body = escape(F.coalesce("text", F.lit("")))
+    masked = role == ASSISTANT
     return text.select(
         "conv_id", F.col("__path").alias("path"), F.col("__depth").alias("seq"), F.concat(head, body, F.lit(END)).alias("segment"),
         F.when(masked, F.length(head)).alias("loss_start"), F.when(masked, F.length(head) + F.length(body)).alias("loss_end"),
-    )
+    ), chosen_path
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -174,9 +191,9 @@ def digest(formatted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     spark = formatted.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     ordered = formatted.select("conv_id", "path", "seq", "segment", "loss_start", "loss_end").repartition(partitions(spark), "conv_id", "path").sortWithinPartitions("conv_id", "path", "seq")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 # The conversation that the contract adds.
@@ -188,8 +205,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2).select(F.lit(EXTRA_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(EXTRA_TEXT).alias("text"))
     nodes, path = cut(linear(rows.unionByName(extra)), "chat-nodes")
-    written, _ = cut(format_turns(nodes), "chat-formatted")
-    drop(spark, path)
+    formatted, chosen = format_turns(nodes)
+    written, _ = cut(formatted, "chat-formatted")
+    drop(spark, path, chosen)
     return digest(written)
 
 

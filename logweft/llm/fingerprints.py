@@ -7,8 +7,10 @@ chain of Bloom filters of BITS bits with FULL features each. Likeness compares t
 those that chance would give, each filter of the shorter chain with its best match in the other.
 
 Defined cases: null text is empty; of a text too short for a run every window of SHORT bytes is a feature, or the whole
-text, so equal texts always have equal fingerprints; two empty texts are alike (1), an empty and another are not (0). Equal ids follow one another in the
-order of their texts; a null id comes first; a single document is its own next one. Extra columns are ignored.
+text, so equal texts always have equal fingerprints; of windows that rank alike the first counts; a very long text has
+as many filters as its features fill; two empty texts are alike (1), an empty and another are not (0). Equal ids follow
+one another in the order of their texts, so repeated rows are each other's next ones; a null id comes first; a single
+document is its own next one; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_by_id, mix, partitions, small_batches, table, text_bytes
+from .common import bounded_batches, dealt_by_id, mix, partitions, table, text_bytes, tidy
 
 #: RUN is a power of two.
 WINDOW, RUN, POPULAR, SHORT = 16, 16, 4, 4
 BITS, HASHES, FULL = 2048, 5, 160
 #: Values of the pair count, and bytes that are worked on at once.
 VALUES, CHUNK = WINDOW * (WINDOW - 1) // 2 + 1, 1 << 21
-MAX_PARTS = 4096
 
 
 def pair_counts(b: np.ndarray) -> np.ndarray:
@@ -73,7 +74,7 @@ def histogram(column: pa.Array) -> np.ndarray:
 
 def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The rank of each pair count, 0 for the rarest, over all windows of all documents. VALUES numbers, at any scale."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VALUES, np.int64)
@@ -82,7 +83,7 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["v", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "v int, n long").groupBy("v").agg(F.sum("n")).collect()
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(tidy(run), "v int, n long").groupBy("v").agg(F.sum("n")).collect()
     counts = np.zeros(VALUES, np.int64)
     for v, n in rows:
         counts[v] = n
@@ -191,9 +192,9 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) dealt by ranges of ids into parts, sorted: __part, __guard, doc_id, text. After the rows of a
     part come guards: copies of the first row of the next part. Returns the frame and the number of parts."""
     spark = docs.sparkSession
-    parts = min(MAX_PARTS, partitions(spark))
+    parts = partitions(spark)
     docs = dealt_by_id(docs, parts)
-    # One id a part: at most MAX_PARTS rows.
+    # One id a part.
     firsts = sorted((r[0], r[1]) for r in docs.groupBy("__part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("__part", "m.doc_id").collect())
     heads = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
     heads = spark.createDataFrame(heads, "__first long, __before int")
@@ -210,7 +211,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranks = corpus_ranks(docs)
     dealt, _ = with_next(docs)
-    small_batches(spark)
+    bounded_batches(spark)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
@@ -243,4 +244,4 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     held, size = held[-1:], len(text)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)

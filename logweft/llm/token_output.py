@@ -6,11 +6,12 @@ read by its index entry alone: read_document(). Shards are the rows of Parquet f
 document ids and its shards in order, since Spark can write and commit those on any file system; file and shard number
 order them.
 
-The dictionary is trained on the serialized ids of at most SAMPLE documents, those with the smallest hash of their id.
+The dictionary is trained on the serialized ids of SAMPLE documents, those with the smallest hash of their id, whole;
+executors encode them. What it is trained on changes the size of the frames and nothing else.
 
 Defined cases: null text is empty and gives the end id alone; a null document id sorts first and is kept; equal ids
-are ordered by length and frame; an empty table gives no shard. Tables too small to train on get a raw dictionary of
-the sample's ids. Only doc_id and text are read.
+are ordered by length and frame, and the one with the smallest hash of its text is sampled; an empty table gives no
+shard. Tables too small to train on get a raw dictionary of the sample's ids. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_by_id, partitions, small_batches, table
+from .common import bounded_batches, cut, dealt_by_id, partitions, table, tidy
 
-#: Documents to train the dictionary on, the part of a sampled text that is used, and the dictionary's bytes.
-SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1000, 50_000, 64 * 1024
-#: Frames of a shard, in bytes; files; words whose ids a worker remembers.
-SHARD_BYTES, MAX_FILES, REMEMBER = 4 << 20, 4096, 200_000
+#: Documents to train the dictionary on, bytes of ids that one training sample holds, and the dictionary's bytes.
+SAMPLE, PIECE, DICT_BYTES = 1000, 64 * 1024, 64 * 1024
+#: Frames of a shard, in bytes; words whose ids a worker remembers.
+SHARD_BYTES, REMEMBER = 4 << 20, 200_000
 END_ID, LEVEL, MAGIC = 1, 3, b"TIDS"
 _HEAD = struct.Struct("<4sBBIQ32s")
 _WORD = re.compile("[^ \t-\r]+")
@@ -149,20 +150,30 @@ def read_document(data: bytes, dictionary: bytes, i: int) -> np.ndarray:
     return Shard(data, dictionary).ids(i)
 
 
-def sampled(docs: DataFrame, n: int = SAMPLE) -> list[str]:
-    """Texts of at most n documents: those with the smallest hash of their id. Ids are chosen first, so few texts move."""
-    ids = [r[0] for r in docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
-    rows = docs.filter(F.col("doc_id").isin(ids)).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(n).collect()
-    return [r.text for r in sorted(rows)]
+def sampled(docs: DataFrame, tokenizer: str, end: bytes, n: int = SAMPLE) -> list[bytes]:
+    """Serialized ids of n documents, those with the smallest hash of their id, in pieces. Ids are chosen first, so few
+    texts move."""
+    last = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).agg(F.max(F.xxhash64("doc_id"))).first()[0]
+    place = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    some = docs.filter(F.xxhash64("doc_id") <= F.lit(last)).groupBy("doc_id").agg(F.min_by("text", place).alias("text")) if last is not None else docs.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
+        for batch in batches:
+            coded = [x + end for x in coder.encode(batch.column(1).fill_null("").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + PIECE] for x in coded for i in range(0, len(x), PIECE)], pa.binary())], ["ids"])
+
+    return sorted(some.select("doc_id", "text").mapInArrow(tidy(run), "ids binary").toArrow()["ids"].to_pylist())
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, bytes, str]:
     """docs (doc_id, text) -> the written shards (file, shard, n_docs, n_tokens, data), the dictionary, the path."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    bounded_batches(spark)
     coder = encoder(tokenizer)
     end, width = np.array([end_id], dtype=coder.kind).tobytes(), coder.width
-    dictionary = train([x + end for x in coder.encode(sampled(docs))])
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    dictionary = train(sampled(docs, tokenizer, end))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -193,18 +204,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFr
         if held:
             yield out()
 
-    files = min(MAX_FILES, partitions(spark))
-    parts = dealt_by_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), files)
-    frames = parts.select("__part", "doc_id", "text").mapInArrow(compress, "file int, doc_id long, n long, frame binary")
+    files = partitions(spark)
+    frames = dealt_by_id(docs, files).select("__part", "doc_id", "text").mapInArrow(tidy(compress), "file int, doc_id long, n long, frame binary")
     # n and frame after the id: equal ids have a fixed order.
     ordered = frames.repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
-    shards, path = cut(ordered.mapInArrow(collect, "file int, shard int, n_docs long, n_tokens long, data binary"), "token-ids")
+    shards, path = cut(ordered.mapInArrow(tidy(collect), "file int, shard int, n_docs long, n_tokens long, data binary"), "token-ids")
     return shards, dictionary, path
 
 
 def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the shards."""
-    # One number a file; there are at most MAX_FILES.
+    # One number a file.
     totals = dict(shards.groupBy("file").agg(F.sum("n_tokens")).collect())
     starts, total = {}, 0
     for file in sorted(totals):
@@ -219,8 +229,8 @@ def read(shards: DataFrame, dictionary: bytes) -> DataFrame:
                 crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(len(s))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(shards.sparkSession, 4)  # a shard holds some MB
-    return shards.select("file", "data").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bounded_batches(shards.sparkSession)
+    return shards.select("file", "data").mapInArrow(tidy(unpack), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
