@@ -75,6 +75,47 @@ def test_min_cut_is_least(scores, data):
     assert price(got) == min(price(ls) for ls in product([False, True], repeat=n))
 
 
+def known_pages():
+    """(html, text of the article's document) of the pages at hand."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT html, text FROM (SELECT *, regexp_extract(url, '://[^/]*/[^/]*/([0-9]+)', 1)::BIGINT AS d FROM '/root/testdata/sf0.1/pages.parquet') JOIN '/root/testdata/sf0.1/documents.parquet' ON doc_id = d ORDER BY page_id").fetchall()
+    return rows
+
+
+def test_the_cut_decides_on_real_pages():
+    """Labels that the cut changes are right afterwards: all of the article, and nothing else."""
+    changed = wrong = 0
+    for page, _ in known_pages():
+        parsed = html_extraction.parse(page)
+        scores, _ = html_extraction.graph(parsed, html_extraction.WEIGHTS)
+        for b, price, keep in zip(parsed.blocks, scores, html_extraction.labels(parsed), strict=False):
+            k = b.element
+            while k >= 0 and parsed.elements[k].name != "article":
+                k = parsed.elements[k].parent
+            changed += (price > 0) != keep
+            wrong += (k >= 0) != keep
+    assert changed > 500 and not wrong
+
+
+def test_weights_are_those_of_the_fit():
+    fitted = html_extraction.fit(known_pages()[: html_extraction.SAMPLE])
+    assert np.allclose(np.concatenate(fitted), np.concatenate(html_extraction.WEIGHTS), atol=0.02)
+
+
+def test_html_odd_pages():
+    text = html_extraction.main_text
+    assert text("<article><p>Some <math><mi>E</mi>=mc</math> in <svg><text>a</text></svg> it.</p><object>old way</object><canvas>drawn</canvas></article>") == "Some E=mc in a it.\nold way\ndrawn"
+    assert text('<article><div class="tags-intro search-results"><p>This is a paragraph of the article, with words.</p></div></article>').startswith("This is")
+    assert text('<body><div id="content"><h1>A heading</h1><p>One sentence of some length stands here, and it ends.</p><p>Short.</p><p>Another sentence of some length stands here, and it ends.</p></div><div class="comment-list"><article><p>I liked it a lot, thanks. Really, so much that I can not even say.</p></article></div></body>').split("\n")[1:3] == ["One sentence of some length stands here, and it ends.", "Short."]
+    import time
+
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p>" + "<b>" * 50_000 + "<h2>x<hr>" * 50_000, "<article>" + "<p>x</p>" * 30_000, "<div>" * 20_000 + "x"):
+        start = time.perf_counter()
+        text(page)
+        assert time.perf_counter() - start < 30
+
+
 def test_html_query(spark, folder):
     got = collect(html_extraction.op1_html_extraction(spark, folder[0]))
     assert len(got) == 8 and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -103,12 +144,45 @@ def test_vector_sample_of_a_hot_id(spark, monkeypatch):
     vecs = [(hot, [1.0, 0.0, 0.0, 0.0])] * 300 + [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(400)]
     seen = []
     graph = vector_search.neighbour_graph
-    monkeypatch.setattr(vector_search, "SAMPLE", 128)
+    monkeypatch.setattr(vector_search, "MOST_SAMPLE", 128)
     monkeypatch.setattr(vector_search, "neighbour_graph", lambda x, k: seen.append(x) or graph(x, k))
     vector_search.learn(spark.createDataFrame(vecs, "id long, v array<double>").coalesce(1))
     assert len(np.unique(seen[0], axis=0)) == len(seen[0]) == 128
 
 
+def recall(spark, rows, searched):
+    """Of the searched rows' neighbours, against all inner products."""
+    x = np.array([r.embedding for r in rows], np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    hits = total = 0
+    for q, found in searched.items():
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hits, total = hits + len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & set(found)), total + 20
+    return hits / total
+
+
+def test_recall_and_share_searched(spark):
+    """Random directions need many parts, clusters few; neither is searched whole."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    near = [(i, (centres[i % 60] + 0.2 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    for df, most in ((spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 0.8), (spark.createDataFrame(near, "vec_id long, embedding array<double>").repartition(4), 0.2)):
+        is_query = F.col("vec_id") % 20 == 0
+        found = defaultdict(list)
+        for r in vector_search.search(df, is_query).collect():
+            found[r.query_id].append(r.vec_id)
+        assert recall(spark, df.select("vec_id", "embedding").collect(), found) >= 0.9
+        assert vector_search.searched_share(df, is_query) < most
+
+
+def test_a_repeated_query_is_one(spark):
+    rng = np.random.default_rng(1)
+    vecs = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    found = vector_search.search(spark.createDataFrame(vecs + [vecs[20]] * 300, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert len(found) == 20 == len({r.vec_id for r in found}) and sorted(r["rank"] for r in found) == list(range(1, 21))
+
+
 def test_partition_is_balanced():
     x = np.random.default_rng(1).normal(size=(256, 6))
     part = vector_search.partition(vector_search.neighbour_graph(x, 8), 3)
@@ -189,6 +263,38 @@ def test_url_filters(spark, folder):
     assert (got[2].host, got[2].path, got[3].host) == ("", "", "")
 
 
+def test_a_bad_host_is_blocked(spark):
+    """Hosts of their own outcomes, domains without any, an address, and clashing names."""
+    good = [("fine.example.com", 1)] * 300 + [("new.example.com", 1)] * 3 + [("bad.spam.example", 0)] * 300 + [("other.spam.example", 0)] * 200 + [("10.0.0.7", 0)] * 200 + [("news.fine.co.uk", 1)] * 300
+    outcomes = spark.createDataFrame(good + [("fine.example.com", None)], "__host string, good int")
+    urls = ["http://fine.example.com/a", "http://bad.spam.example/a", "http://third.spam.example/", "http://10.0.0.7/x", "http://10.0.0.7:80/y", "http://8.8.8.7/", "http://www.fine.co.uk/", None]
+    pages = spark.createDataFrame([(i, u, "h", i) for i, u in enumerate(urls)], "page_id long, url string, host string, __host long")
+    got = {r.page_id: r for r in url_filters.judge(pages, outcomes).collect()}
+    assert [got[i].verdict for i in range(8)] == ["allow", "block", "block", "block", "block", got[5].verdict, "allow", got[7].verdict]
+    assert got[1].host == "h" and got[1].host_1 == "bad.spam.example" and got[1]["__host"] == 1
+    # The chain by hand: each level pulled to the one above by the weight that the moments give.
+    p = sum(y for _, y in good) / len(good)
+
+    def weight(groups):
+        n, k = sum(x for x, _ in groups), len(groups)
+        spread = (sum(y * y / x for x, y in groups) - sum(y for _, y in groups) ** 2 / n) / (p * (1 - p)) - (k - 1)
+        rho = spread / (n - sum(x * x for x, _ in groups) / n - (k - 1))
+        return max(2.0, min(1000.0, (1 - rho) / rho)) if rho > 0 else 1000.0
+
+    domain = {"fine.example.com": "example.com", "new.example.com": "example.com", "bad.spam.example": "spam.example", "other.spam.example": "spam.example", "10.0.0.7": "10.0.0.7", "news.fine.co.uk": "fine.co.uk"}
+    suffix = {"example.com": "com", "spam.example": "example", "10.0.0.7": "10.0.0.7", "fine.co.uk": "co.uk"}
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for h, y in good:
+        for c, key in zip(counts, (h, domain[h], suffix[domain[h]]), strict=True):
+            c[key][0] += 1
+            c[key][1] += y
+    w = [weight(list(c.values())) for c in counts]
+    m = p
+    for c, key, k in ((counts[2], "example", w[2]), (counts[1], "spam.example", w[1]), (counts[0], "bad.spam.example", w[0])):
+        m = (k * m + c[key][1]) / (k + c[key][0])
+    assert got[1].mean == pytest.approx(m)
+
+
 def test_mixing(spark, folder):
     df = mixing.op9_mixing(spark, folder[0])
     assert spark_rows(df) == sql_rows(folder[0], mixing.SQL, "documents")
@@ -209,8 +315,35 @@ def test_chat_format(spark, folder):
 def test_reply_trees(spark):
     rows = [(1, 0, None, 0.0, "user", "q"), (1, 1, 0, 0.2, "assistant", "bad"), (1, 2, 0, 0.9, "assistant", "good"), (1, 3, 2, 0.1, "user", "more"), (1, 4, 99, 0.0, "user", "lost parent")]
     nodes = spark.createDataFrame(rows, "conv_id long, __id long, __parent long, __score double, role string, text string")
-    got = sorted((r.path, r.seq, chat_format.parse(r.segment)[0][1]) for r in chat_format.format_turns(nodes, keep=2).collect())
-    assert got == [(1, 0, "q"), (1, 1, "good"), (1, 2, "more"), (2, 0, "q"), (2, 1, "bad")]
+    formatted = lambda df, keep: sorted((r.path, r.seq, chat_format.parse(r.segment)[0][1]) for r in chat_format.format_turns(df, keep)[0].collect())
+    want = [(1, 0, "q"), (1, 1, "good"), (1, 2, "more"), (2, 0, "q"), (2, 1, "bad")]
+    assert formatted(nodes, 2) == want
+    again = spark.createDataFrame(rows * 2 + [(1, 1, 0, 0.2, "assistant", "worse")], nodes.schema)
+    assert formatted(chat_format.unique(again), 2) == want
+    cycle = spark.createDataFrame([(1, 0, 1, 0.0, "user", "a"), (1, 1, 0, 0.0, "user", "b"), (2, 0, None, 0.0, "user", "c")], nodes.schema)
+    with pytest.raises(ValueError):
+        chat_format.format_turns(cycle)
+
+
+def test_best_paths_against_all_paths(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for conv in range(6):
+        parent = {i: rng.randrange(i) if i and rng.random() < 0.9 else None for i in range(25)}
+        score = {i: rng.randint(0, 4) / 4 for i in parent}
+
+        def path(i, parent=parent):
+            return [i] if parent[i] is None else [*path(parent[i]), i]
+
+        leaves = [path(i) for i in parent if i not in parent.values()]
+        leaves.sort(key=lambda p, score=score: (-sum(score[i] for i in p), -len(p), p[-1]))
+        want[conv] = leaves[:3]
+        rows += [(conv, i, parent[i], score[i]) for i in parent]
+    got = defaultdict(list)
+    found, _ = chat_format.best_paths(spark.createDataFrame(rows, "conv_id long, __id long, __parent long, __score double"), 3)
+    for r in sorted(found.collect(), key=lambda r: (r.conv_id, r["__path"], r["__depth"])):
+        got[r.conv_id, r["__path"]].append(r["__id"])
+    assert got == {(c, k + 1): p for c, ps in want.items() for k, p in enumerate(ps)}
 
 
 # ------------------------------------------------------------------ op5
@@ -240,9 +373,62 @@ def test_ngram_join(spark, folder):
     assert got == brute_components(folder[1])
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(words[:38] + ["x", "y"])
+    rows = [(2, a), (5, "some other text of seven words"), (5, a), (None, b), (None, "lone text of these six words"), (9, None), (9, "  ")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(2, 36, 2), (5, 2, 5), (5, 36, 2), (0, 36, 2), (0, 2, 0), (9, 0, 9), (9, 0, 9)])
+
+
+def test_ngram_join_with_a_hot_element(spark, monkeypatch):
+    """A shingle that 2,000 sets begin with, of which only neighbours link; documents made of hot passages alone; parts
+    that overflow, and elements that are spread over all parts."""
+    for name, value in (("MEET", 500), ("HOT", 30), ("SPLIT", 50), ("FLUSH", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = [(i, f"a b c d e p{i // 2} q{i // 2} r{i // 2} s{i // 2} " + "z" * (i % 2)) for i in range(2000)]
+    passage = lambda k, n: " ".join(f"x{k}y{j}" for j in range(n))
+    more = [(10_000 + 20 * i + j, f"{passage(i, 40)} {passage(j, 8 + i % 3)}") for i in range(20) for j in range(20)]
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c) in brute_of(rows + more).items()}
+
+
+def brute_of(docs):
+    """By an index of the elements: for sets that are too many for all pairs."""
+    sets, at, parent = {}, defaultdict(list), {}
+    for d, t in docs:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+        parent[d] = d
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    groups = defaultdict(list)
+    for d, s in sets.items():
+        groups[frozenset(s)].append(d)
+    kinds = list(groups)
+    for k in kinds:
+        for d in groups[k]:
+            parent[d] = min(groups[k])
+    for k in kinds:
+        for e in k:
+            at[e].append(k)
+    for ks in at.values():
+        for i, x in enumerate(ks):
+            for y in ks[:i] if len(ks) < 1900 else ():  # the common first shingle, whose pairs share others if they link
+                both = len(x & y)
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    a, b = find(groups[x][0]), find(groups[y][0])
+                    parent[max(a, b)] = min(a, b)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 75)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
     assert all(got[i] == 0 for i in range(31)) and got[100] == got[75] == got[50] == 50
 
 
@@ -256,6 +442,35 @@ def test_fold_and_phrases():
     assert s.score("you trash") > 0.7 > s.score("the trash can") and s.score(None) == s.score("") < 0.1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "trashy", "trasher", "can", "bin", "you", "idiot", "the"]), max_size=12), st.sampled_from([" ", ", ", "! "]))
+def test_matches_against_a_search_of_all_places(words, sep):
+    weights = {" trash": {0: 2.0}, " trashy ": {0: 1.5, 2: 2.5}, " idiot ": {0: 3.0}, " can": {1: 0.5}}
+    model = toxicity.Model(weights, (" trash can ", " you idiot "), (-3.0, 1.0, 2.0))
+    folded = toxicity.fold(sep.join(words))
+    found = Counter()
+    for x in weights:
+        for at in range(len(folded)):
+            # An occurrence begins with the space before its word; it is harmless if that space lies in an exception.
+            spaces = [e for e in model.exceptions for i in range(len(folded)) if folded.startswith(e, i) and i <= at < i + len(e) - 1]
+            if folded.startswith(x, at) and not spaces:
+                found[x] += 1
+    scorer = toxicity.Scorer(model)
+    assert scorer.matches(folded) == found
+    n = max(1, len(folded.split()))
+    total = sum(max((w for i, w in weights[x].items() if k >= toxicity.LEVELS[i] * n), default=0.0) for x, k in found.items())
+    dense = sum(max((w for i, w in weights[x].items() if k >= toxicity.LEVELS[i] * n), default=0.0) * k / n for x, k in found.items())
+    assert scorer.features(folded) == pytest.approx((min(total, toxicity.MOST), min(dense, 1.0)))
+
+
+def test_a_late_insult_teaches(spark):
+    """Whole texts are learned from, however long."""
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, "plain words here " * 3000 + ("idiot" if i % 2 else "friend")) for i in ids]
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    assert any("idio" in x for x in model.weights) and toxicity.Scorer(model).score("what an idiot") > 0.7
+
+
 def test_toxicity_held_out(spark):
     rows = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
@@ -289,6 +504,55 @@ def test_pair_counts(raw):
     assert fingerprints.pair_counts(b).tolist() == want
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab c.é", max_size=70), min_size=1, max_size=4), st.integers(0, 5))
+def test_selection_against_all_runs(texts, seed):
+    """Windows that are best in enough runs, by a loop over runs."""
+    w, run = fingerprints.WINDOW, fingerprints.RUN
+    ranks = np.random.default_rng(seed).permutation(fingerprints.VALUES)
+    got = fingerprints.features(pa.array(texts), ranks)
+    for text, found in zip(texts, got, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        counts = fingerprints.pair_counts(raw)
+        best = Counter(min(range(r, r + run), key=lambda t: (ranks[counts[t]], t)) for r in range(len(counts) - run + 1))
+        chosen = sorted(t for t, k in best.items() if k >= fingerprints.POPULAR)
+        if chosen:
+            want = fingerprints._window_hashes(raw, np.array(chosen))
+            assert found.tolist() == list(dict.fromkeys(want.tolist()))
+        else:
+            assert len(found) == len({text.encode()[i : i + 4] for i in range(len(raw) - 3)} or ({text} - {""}))
+        assert len(raw) >= w + run - 1 or not chosen
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 400), st.integers(0, 400), st.integers(0, 9))
+def test_likeness_against_bits(n, m, both, seed):
+    rng = np.random.default_rng(seed)
+    items = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+    both = min(both, n, m)
+    a, b = fingerprints.Digest(items[:n]), fingerprints.Digest(np.concatenate([items[:both], items[n : n + m - both]]))
+
+    def bits(digest, found):
+        chain = [set() for _ in range(-(-len(found) // fingerprints.FULL))]
+        for i, x in enumerate(found.tolist()):
+            chain[i // fingerprints.FULL] |= {x >> 11 * k & 2047 for k in range(fingerprints.HASHES)}
+        return chain
+
+    x, y = bits(a, items[:n]), bits(b, np.concatenate([items[:both], items[n : n + m - both]]))
+    sizes = [a.counts(), b.counts()]
+    if (len(x), n) > (len(y), m):
+        x, y, sizes = y, x, sizes[::-1]
+    got = fingerprints.likeness(a, b)
+    if not n or not m:
+        assert got == float(n == m)
+        return
+    total = 0.0
+    for u, k in zip(x, sizes[0], strict=True):
+        over = [(len(u & v) - len(u) * len(v) / 2048) / (min(len(u), len(v)) - len(u) * len(v) / 2048) for v in y]
+        total += k * max(0.0, *over)
+    assert got == pytest.approx(total / sum(sizes[0]))
+
+
 def test_fingerprints(spark, folder):
     got = {r.doc_id: r for r in fingerprints.op7_fingerprints(spark, folder[0]).collect()}
     docs = sorted((d, t or "") for d, t, _ in folder[1])
@@ -355,6 +619,57 @@ def test_pipeline(spark, folder):
     assert set(docs.columns) < set(out.columns) and out.filter("NOT lossless").count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, folder):
+    """Rows, not ids: an id with two texts, exact copies, null ids, and other columns that differ."""
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(words[:39] + ["x"])
+    rows = [(2, a, "s"), (5, "other text of these seven words", "s"), (5, a, "t"), (2, a, "u"), (None, b, "s"), (None, "lone text of these six words", "s"), (9, None, "s"), (9, "", "s"), (9, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    got = p.near_duplicates(spark, docs, folder[0]).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(2, a), (5, rows[1][1]), (0, rows[5][1]), (9, ""), (9, ""), (9, "")])
+    assert docs.columns == p.near_duplicates(spark, docs, folder[0]).columns
+
+
+def test_pipeline_mixes_by_its_sql(spark, folder):
+    """The mixing stage, as often as the SQL of the mix says."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    times = Counter(r.doc_id for r in p.mix_sources(spark, docs, folder[0]).collect())
+    for r in mixing.op9_mixing(spark, folder[0]).collect():
+        assert not r["size"] or times[r.doc_id] * r["size"] == r.taken
+
+
+NAMES = ["__text", "__html", "__id", "__hash", "__source", "__k", "__key", "__row", "__host", "__part", "lossless", "piece_ids", "decoded", "score", "toxic", "n_chars", "key", "component", "verdict", "rule", "q", "class", "part"]
+
+
+def test_clashing_names_are_kept(spark, folder):
+    """Every operator that keeps columns keeps these, with their values."""
+    import corpus_pipeline as p
+
+    extra = lambda df, skip=(): df.withColumns({n: F.lit(f"<{n}>") for n in NAMES if n not in skip})
+    docs = extra(spark.read.parquet(f"{folder[0]}/documents.parquet"))
+    pages = extra(spark.read.parquet(f"{folder[0]}/pages.parquet"))
+    outcomes = spark.createDataFrame([("x.org", 1)], "__host string, good int")
+    made = {
+        "extract": html_extraction.extract(pages),
+        "encode": sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.build(PIECES, 0), lossless="lossless"),
+        "judge": url_filters.judge(pages, outcomes),
+        "score": toxicity.score(docs, toxicity.Model({" idiot": {0: 3.0}}, (), (-3.0, 1.0, 1.0))),
+        "mix": mixing.mix(docs),
+        **{name: stage(spark, docs, folder[0]) for name, stage in p.STAGES},
+    }
+    for name, df in made.items():
+        assert len(set(df.columns)) == len(df.columns), name
+        for r in df.limit(3).collect():
+            assert all(r[n] == f"<{n}>" for n in NAMES), name
+    # Those that only read some columns don't mind others.
+    assert ngram_join.link_components(docs).count() == docs.count()
+    assert token_output.write(docs, __import__("public_tokenizers").path(TOKENIZER))[0].count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
