@@ -6,11 +6,14 @@ import argparse
 import os
 import re
 import sys
-import tempfile
+import uuid
 from collections.abc import Iterable
 
+from pyspark.sql import SparkSession
+
 from . import sinks
 from .engine import Engine
+from .operators.numbering import checkpoint_folder
 from .plans.sql import is_sql
 from .plans.syntax import UNITS, QueryError
 from .session import session
@@ -39,6 +42,20 @@ def time_filter(start: str | None, end: str | None, field: str) -> str:
     return f"where {' and '.join(tests)}" if tests else ""
 
 
+def spooled(spark: SparkSession, lines: Iterable[str]) -> str:
+    """Standard input as a file in the folder that driver and executors share."""
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stdin-{uuid.uuid4().hex}.log"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        for line in lines:
+            out.write(line.encode())
+    finally:
+        out.close()
+    return path
+
+
 def show(lines: Iterable[str]) -> None:
     for line in lines:
         print(line)
@@ -48,6 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="logweft")
     p.add_argument("query")
     p.add_argument("files", nargs="*")
+    p.add_argument("--lang", default="auto", choices=("auto", "kql", "sql"))
     p.add_argument("--input", default="auto", choices=FORMATS)
     p.add_argument("--pattern")
     p.add_argument("--output", default="table", choices=sinks.FORMATS)
@@ -64,11 +82,9 @@ def main(argv: list[str] | None = None) -> int:
         spark = session()
         engine = Engine(spark, fmt=a.input, pattern=a.pattern)
         files = [f for f in a.files if f != "-"]
-        if "-" in a.files or (not a.files and not is_sql(a.query)):
-            spool = tempfile.NamedTemporaryFile("w", suffix=".log", delete=False)
-            with spool:
-                spool.writelines(sys.stdin)
-            files.append(spool.name)
+        sql = is_sql(a.query) if a.lang == "auto" else a.lang == "sql"
+        if "-" in a.files or (not a.files and not sql):
+            files.append(spooled(spark, sys.stdin))
         source = read(spark, files, a.input, a.pattern) if files else None
         limits = time_filter(a.start, a.end, a.time_field) if source is not None else ""
         kept = engine.run(limits, source).df if limits else source
@@ -78,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
             df = engine.context(query, source, before, after, duration_us(a.around) if a.around else 0, a.time_field)
             show(sinks.context_lines(df) if a.output == "table" else sinks.lines(df, a.output))
             return 0
-        result = engine.run(a.query, kept)
+        result = engine.run(a.query, kept, sql)
         if result.chart and a.output == "table":
             print(result.draw(int(os.environ.get("COLUMNS", "100"))))
         else:

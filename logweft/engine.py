@@ -56,9 +56,10 @@ class Engine:
             state = STAGES[st.op](state, st, self)
         return state
 
-    def run(self, query: str, source: str | DataFrame | None = None) -> Result:
-        """A pipeline over the source, or SQL (whose FROM names it, if none is given)."""
-        if is_sql(query):
+    def run(self, query: str, source: str | DataFrame | None = None, sql: bool | None = None) -> Result:
+        """A pipeline over the source, or SQL (whose FROM names it, if none is given); sql: which of both, where the query
+        shall not say so itself."""
+        if is_sql(query) if sql is None else sql:
             stages = parse_sql(query)
             source = source if source is not None else sql_source(query)
         else:

@@ -14,7 +14,7 @@ from ..plans.stages import Stage
 from .relational import q, stage
 from .state import State
 
-#: A lookup's table is a dimension; it is broadcast up to this many rows, else joined by key.
+#: A lookup's table is a dimension; it, or what a hint names, is broadcast up to this many rows, else joined by key.
 BROADCAST_ROWS = 200_000
 
 
@@ -54,7 +54,7 @@ def join(s: State, st: Stage, engine) -> State:
         names[n] = n if n.startswith("__r") else _fresh(n, taken)
         taken.add(names[n])
     right = right.select(*[q(n).alias(m) for n, m in names.items()])
-    if st.options.get("hint.strategy") == "broadcast":
+    if st.options.get("hint.strategy") == "broadcast" and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = F.broadcast(right)
     out = left.join(right, reduce(lambda a, b: a & b, keys), kind)
     drop = [f"__l{k}" for k in range(len(keys))] + ([] if semi else [f"__r{k}" for k in range(len(keys))])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from ..functions.expressions import Scope
 from ..functions.scalar import type_name
 from ..plans.stages import Stage
 from ..plans.syntax import Field
+from .numbering import running
 from .state import State
 
 STAGES: dict[str, Callable] = {}
@@ -229,16 +230,11 @@ def sample_distinct(s: State, st: Stage, engine) -> State:
 
 @stage("serialize")
 def serialize(s: State, st: Stage, engine) -> State:
-    """Numbers rows in their order. Without a sort the parts of the source are numbered side by side, without a shuffle."""
+    """Numbers rows in their order."""
     if not st.items:
         return s
     name = st.items[0].name
-    if s.order:
-        return State(s.df.withColumn(name, (F.row_number().over(Window.orderBy(*s.order)) + (st.n - 1)).cast("long")), s.order)
-    schema = T.StructType([*s.df.schema.fields, T.StructField(name, T.LongType())])
-    start = st.n
-    rows = s.df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + start))
-    return State(engine.spark.createDataFrame(rows, schema))
+    return State(running(s.df.drop(name), name, st.n, order=s.order), s.order)
 
 
 @stage("union")

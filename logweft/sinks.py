@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from .functions.coerce import Typed, is_span, is_time, txt
 
 LEVEL_COLUMNS = {"level", "lvl", "severity", "loglevel", "log_level"}
-COLOURS = {"error": 31, "err": 31, "fatal": 35, "critical": 35, "crit": 35, "panic": 35, "warn": 33, "warning": 33, "info": 32, "debug": 36, "trace": 90}
+# The levels of each colour (terminal codes).
+COLOURS = {
+    level: code
+    for code, levels in {"31": "error err severe sev", "1;31": "fatal crit critical panic emerg alert", "33": "warn warning", "32": "info notice", "90": "debug", "36": "trace verbose"}.items()
+    for level in levels.split()
+}
 FORMATS = ("table", "json", "ndjson", "jsonl", "tsv")
 
 
@@ -71,7 +76,7 @@ def _table(df: DataFrame, colour: bool = False, group: str | None = None) -> Ite
         def painted(r: tuple) -> str:
             cells = [f"{c:<{w}}" for c, w in zip(r, wide, strict=True)]
             for k, n in enumerate(names):
-                if colour and n.lower() in LEVEL_COLUMNS and (code := COLOURS.get(r[k].lower())):
+                if colour and n.lower() in LEVEL_COLUMNS and (code := COLOURS.get(r[k].strip().lower())):
                     cells[k] = f"\x1b[{code}m{cells[k]}\x1b[0m"
             return "  ".join(cells).rstrip()
 

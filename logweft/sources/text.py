@@ -5,27 +5,34 @@ from __future__ import annotations
 import csv
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.syntax import QueryError
 
-LINE, RAW = "_line", "_raw"
+LINE, RAW, CORRUPT = "_line", "_raw", "__corrupt"
 NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?$"
 FORMATS = ("json", "ndjson", "auto", "logfmt", "csv", "tsv", "regex", "raw", "text", "parquet")
-_PAIR = r'([^\s=]+)(?:=("(?:[^"\\]|\\.)*"|[^ ]*))?'
+_PAIR = r"""([^\s=]+)(?:=("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^ ]*))?"""
+#: Where key=value pairs are seen.
+HINT = r"(^|\s)[A-Za-z0-9_.\-]+="
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """_line and _raw, one row for each line that isn't blank. Numbers count from 1 in each file, blanks too.
 
-    Without a shuffle: lines are read in whole splits of a file, whose lines are counted once."""
+    A first pass counts the lines of each split of a file; a line's number is those of the splits before and its place in
+    its own, which the scan gives. Lines are never moved."""
     parts = []
     for path in paths:
-        text = spark.read.text(path)
-        numbered = text.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))
-        parts.append(spark.createDataFrame(numbered, f"{LINE} long, {RAW} string"))
+        text = spark.read.text(path).select(F.col("value").alias(RAW), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s"), F.monotonically_increasing_id().alias("__m"))
+        # A row for each split.
+        splits = text.groupBy(F.col("__f").alias("__f2"), F.col("__s").alias("__s2")).agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy("__f2").orderBy("__s2").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        numbered = text.join(F.broadcast(splits), (F.col("__f") == F.col("__f2")) & (F.col("__s") == F.col("__s2")))
+        parts.append(numbered.select((F.col("__before") + F.col("__m") - F.col("__first") + 1).alias(LINE), RAW))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
@@ -77,7 +84,7 @@ def pairs(raw: Column) -> Column:
     """The key=value pairs of a line as a map; a bare key is true. The last of equal keys counts."""
     found = F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0))
     key = lambda p: F.regexp_extract(p, r"^([^\s=]+)", 1)
-    value = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_extract(p, r"^[^\s=]+=((?s).*)$", 1), r'^"((?s).*)"$', "$1"), r"\\(.)", "$1")
+    value = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_extract(p, r"^[^\s=]+=((?s).*)$", 1), r"""^(["'])((?s).*)\1$""", "$2"), r"\\(.)", "$1")
     entries = F.transform(found, lambda p: F.struct(key(p).alias("k"), F.when(F.contains(p, F.lit("=")), value(p)).otherwise("true").alias("v")))
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     last = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
@@ -107,16 +114,25 @@ def read_logfmt(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _spread(lines(spark, paths).withColumn("__kv", pairs(F.col(RAW))), "__kv")
 
 
+def _inferred(spark: SparkSession, texts: DataFrame) -> T.StructType:
+    """The schema of a column of JSON texts, found by the JVM's own reader."""
+    jvm = spark.sparkContext._jvm
+    strings = getattr(texts._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING())
+    found = spark._jsparkSession.read().option("columnNameOfCorruptRecord", CORRUPT).option("allowSingleQuotes", "false").json(strings)
+    return T.StructType([f for f in DataFrame(found, spark).schema if f.name != CORRUPT])
+
+
 def read_auto(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Line by line: an object, else key=value pairs where a key= is seen, else raw."""
+    """Line by line: an object, else key=value pairs where a key= is seen, else raw. What looks like an object and is
+    none is one of the others."""
     df = lines(spark, paths)
-    is_json = F.trim(RAW).startswith("{") & F.trim(RAW).endswith("}")
-    objects = df.filter(is_json)
-    schema = spark.read.json(objects.select(RAW).rdd.map(lambda r: r[0])).schema
-    schema = T.StructType([f for f in schema if f.name != "_corrupt_record"])
-    parsed = df.withColumn("__j", F.when(is_json, F.from_json(RAW, schema)))
+    is_json = F.trim(RAW).startswith("{") & F.trim(RAW).endswith("}") & (F.length(F.trim(RAW)) > 1)
+    schema = _inferred(spark, df.filter(is_json).select(RAW))
+    parsed = F.from_json(RAW, T.StructType([*schema, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"})
+    parsed = df.withColumn("__p", F.when(is_json, parsed))
+    parsed = parsed.withColumn("__j", F.when(F.col(f"__p.{CORRUPT}").isNull(), F.col("__p"))).drop("__p")
     names = [f.name for f in schema if f.name not in (LINE, RAW)]
-    rest = parsed.withColumn("__kv", F.when(F.col("__j").isNull() & F.col(RAW).rlike(r"(^|\s)[A-Za-z_][\w.-]*="), pairs(F.col(RAW))))
+    rest = parsed.withColumn("__kv", F.when(F.col("__j").isNull() & F.col(RAW).rlike(HINT), pairs(F.col(RAW))))
     keys = _kinds(rest, "__kv")
     good = F.col("__j").isNotNull()
     columns = []
