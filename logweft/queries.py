@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .format_queries import FORMATS
 from .operators.charts import histogram
 
 #: name: (table, query, SQL)
@@ -76,6 +77,24 @@ PIPELINES: dict[str, tuple[str, str, str]] = {
     "sql_like": ("", "SELECT p_partkey, UPPER(p_type) AS t FROM part WHERE p_name LIKE '%RING' AND p_brand NOT LIKE 'x%'", "SELECT p_partkey, upper(p_type) AS t FROM part WHERE p_name ILIKE '%ring' AND p_brand NOT ILIKE 'x%'"),
     "sql_distinct_order_limit": ("", "SELECT DISTINCT o_orderpriority FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 ORDER BY o_orderpriority LIMIT 3", "SELECT DISTINCT o_orderpriority FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 ORDER BY 1 LIMIT 3"),
     "sql_scalar_over_agg": ("", "SELECT event_type, ROUND(AVG(value), 2) AS mean, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type ORDER BY 2", "SELECT event_type, round(avg(value), 2) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
+    "fn_url": ("part", "project p_partkey, a = url_encode(p_name), b = url_decode(url_encode(p_name)), c = url_decode(\"a%2Fb\")", "SELECT p_partkey, replace(p_name, ' ', '+') AS a, p_name AS b, 'a/b' AS c FROM part"),
+    "fn_timespan": ("events", 'project event_id, a = totimespan("90m") == 90m, b = ts + totimespan("1h")', "SELECT event_id, true AS a, ts + INTERVAL 1 HOUR AS b FROM events"),
+    "fn_finite": ("events", "project event_id, a = isnan(value), b = isfinite(value), c = isfinite(value / 0)", "SELECT event_id, isnan(value) AS a, isfinite(value) AS b, false AS c FROM events"),
+    "fn_now": ("events", "where ts < now() and now() > ago(1d) | project event_id, late = ts > ago(1h), soon = ts > now(1h)", "SELECT event_id, false AS late, false AS soon FROM events"),
+    "fn_day_edges": ("events", "project event_id, a = endofday(ts), b = startofminute(ts)", "SELECT event_id, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS a, date_trunc('minute', ts) AS b FROM events"),
+    "fn_pack_array": ("events", "extend xs = pack_array(value, user_id, 7) | project event_id, n = array_length(xs), first = xs[0], last = xs[2]", "SELECT event_id, 3::BIGINT AS n, value AS first, 7.0::DOUBLE AS last FROM events"),
+    "fn_log": ("events", "project event_id, a = round(ln(value + 1), 6), b = round(log2(value + 1), 6), c = round(log(value + 1), 6)", "SELECT event_id, round(ln(value + 1), 6) AS a, round(log2(value + 1), 6) AS b, round(ln(value + 1), 6) AS c FROM events"),
+    "fn_trim": ("part", 'extend t = strcat("  ", p_name, " ") | project p_partkey, a = trim(t), b = strlen(trim_start(t)), c = strlen(trim_end(t)), d = tolower(toupper(p_name))', "SELECT p_partkey, p_name AS a, length(p_name) + 1 AS b, length(p_name) + 2 AS c, p_name AS d FROM part"),
+    "agg_arg_star": ("orders", "summarize arg_max(o_totalprice, *) by o_orderstatus | project o_orderstatus, o_totalprice, o_orderkey, o_custkey", "SELECT o_orderstatus, max(o_totalprice) AS o_totalprice, arg_max(o_orderkey, o_totalprice) AS o_orderkey, arg_max(o_custkey, o_totalprice) AS o_custkey FROM orders GROUP BY 1"),
+    "sql_left_join": ("", "SELECT n.n_name, s.s_name FROM nation n LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey", "SELECT n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey"),
+    "sql_right_join": ("", "SELECT s.s_name, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey", "SELECT s_name, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey"),
+    "sql_full_join": ("", "SELECT s.s_name, n.n_name FROM supplier s FULL JOIN nation n ON s.s_suppkey = n.n_nationkey", "SELECT s_name, n_name FROM supplier FULL JOIN nation ON s_suppkey = n_nationkey"),
+    "sql_cast": ("", "SELECT event_id, CAST(value AS INT) AS a, CAST(user_id AS TEXT) AS b, CAST('2.5' AS DOUBLE) AS c, CAST(value AS BOOLEAN) AS d, CAST('x' AS INT) AS e FROM events", "SELECT event_id, trunc(value)::BIGINT AS a, user_id::VARCHAR AS b, 2.5::DOUBLE AS c, value <> 0 AS d, NULL::BIGINT AS e FROM events"),
+    "sql_names": ("", "SELECT event_type, COUNT(*), SUM(value), MAX(user_id) FROM events GROUP BY event_type", "SELECT event_type, count(*) AS count, sum(value) AS sum_value, max(user_id) AS max_user_id FROM events GROUP BY 1"),
+    "sql_offset": ("", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 3", "SELECT n_nationkey, n_name FROM nation ORDER BY 1 LIMIT 5 OFFSET 3"),
+    "sql_functions": ("", "SELECT p_partkey, LENGTH(p_name) AS a, SUBSTR(p_name, 0, 3) AS b, CONCAT(p_brand, '-', p_type) AS c, IFNULL(p_name, 'x') AS d, LOWER(UPPER(p_type)) AS e, CEIL(p_retailprice) AS f, REPLACE(p_name, ' ', '_') AS g FROM part WHERE p_name IS NOT NULL", "SELECT p_partkey, length(p_name) AS a, substr(p_name, 1, 3) AS b, p_brand || '-' || p_type AS c, p_name AS d, lower(p_type) AS e, ceil(p_retailprice) AS f, replace(p_name, ' ', '_') AS g FROM part"),
+    "render_rows": ("events", "summarize n = count() by event_type | render barchart with (title=\"kinds\")", "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
+    "render_table": ("nation", "render table", "SELECT * FROM nation"),
     "tpch_q1": ("lineitem", "where l_shipdate <= todatetime(\"1998-09-02\") | summarize sum_qty = sum(l_quantity), sum_price = sum(l_extendedprice), sum_disc = sum(l_extendedprice * (1 - l_discount)), avg_disc = avg(l_discount), n = count() by l_returnflag, l_linestatus | extend sum_qty = round(sum_qty, 2), sum_price = round(sum_price, 2), sum_disc = round(sum_disc, 2), avg_disc = round(avg_disc, 6)", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "tpch_q3": ("lineitem", 'join (orders | join (customer | where c_mktsegment == "BUILDING") on o_custkey == c_custkey | project o_orderkey, o_orderdate) on l_orderkey == o_orderkey | summarize revenue = sum(l_extendedprice * (1 - l_discount)) by l_orderkey | extend revenue = round(revenue, 2) | top 10 by revenue, l_orderkey asc', "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
     "tpch_q5": ("orders", "lookup kind=inner (customer | project c_custkey, c_nationkey) on o_custkey == c_custkey | lookup kind=inner (nation | project n_nationkey, n_name) on c_nationkey == n_nationkey | summarize total = sum(o_totalprice) by n_name | extend total = round(total, 2)", "SELECT n_name, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
@@ -121,6 +140,22 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, {"e": events}).run("summarize n = count(), total = sum(p.k) by event_type", "e").df
 
 
+def index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = engine(spark, sf_dir).table("events").withColumn("m", F.from_json("props", "map<string,double>"))
+    return Engine(spark, {"e": events}).run('project event_id, k = m["k"], none = m["none"]', "e").df
+
+
+def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cli import time_filter
+
+    return engine(spark, sf_dir).run(time_filter("2024-01-05", "2024-01-09T12:00:00Z", "ts") + " | project event_id, ts", "events").df
+
+
+def sql_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language named, as the command line's --lang does."""
+    return engine(spark, sf_dir).run("select count(*) as n from events where value > 10", None, sql=True).df
+
+
 _NEAR = "(SELECT event_id AS a FROM events WHERE value > 200)"
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "agg_lists": (agg_lists, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS l, 1 AS s, arg_min(n_name, n_nationkey) AS a FROM nation GROUP BY 1"),
@@ -134,10 +169,16 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "context_time": (context_time, "SELECT DISTINCT e.event_id, CASE WHEN e.value > 200 THEN '>' ELSE '' END AS mark FROM events e JOIN (SELECT ts FROM events WHERE value > 200) h ON e.ts BETWEEN h.ts - INTERVAL 60 SECOND AND h.ts + INTERVAL 60 SECOND"),
     "histogram": (histogram_value, "WITH m AS (SELECT min(value) lo, max(value) hi FROM events), c AS (SELECT least(floor((value - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin FROM events, m) SELECT b::INTEGER AS bin, count(c.bin) AS n FROM range(10) r(b) LEFT JOIN c ON c.bin = b GROUP BY 1"),
+    "index_map": (index_map, "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k, NULL::DOUBLE AS none FROM events"),
+    "time_range": (time_range, "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09 12:00:00'"),
+    "sql_by_name": (sql_by_name, "SELECT count(*) AS n FROM events WHERE value > 10"),
     "json_nested": (json_nested, "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::DOUBLE) AS total FROM events GROUP BY 1"),
 }
 
 
+OTHERS |= FORMATS
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _pipeline(t, p) for n, (t, p, _) in PIPELINES.items()} | {n: f for n, (f, _) in OTHERS.items()}
 
