@@ -88,17 +88,17 @@ def main(argv: list[str] | None = None) -> int:
         source = read(spark, files, a.input, a.pattern) if files else None
         limits = time_filter(a.start, a.end, a.time_field) if source is not None else ""
         kept = engine.run(limits, source).df if limits else source
+        colour = a.color == "always" or (a.color == "auto" and sys.stdout.isatty() and "NO_COLOR" not in os.environ)
         before, after = max(a.context, a.before), max(a.context, a.after)
         if before or after or a.around:
             query = f"{limits} | {a.query}" if limits else a.query
             df = engine.context(query, source, before, after, duration_us(a.around) if a.around else 0, a.time_field)
-            show(sinks.context_lines(df) if a.output == "table" else sinks.lines(df, a.output))
+            show(sinks.context_lines(df, colour) if a.output == "table" else sinks.lines(df, a.output))
             return 0
         result = engine.run(a.query, kept, sql)
         if result.chart and a.output == "table":
             print(result.draw(int(os.environ.get("COLUMNS", "100"))))
         else:
-            colour = a.color == "always" or (a.color == "auto" and sys.stdout.isatty() and "NO_COLOR" not in os.environ)
             show(sinks.lines(result.df, a.output, colour))
         return 0
     except QueryError as e:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import DataType
 
+from .functions.coerce import Typed
+from .functions.scalar import register
 from .operators import joins as _joins  # noqa: F401  (registers its stages)
 from .operators.charts import draw
 from .operators.context import around
@@ -34,6 +38,10 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, folder: str | None = None, fmt: str = "auto", pattern: str | None = None, compat: bool = False):
         self.spark, self.tables, self.folder, self.fmt, self.pattern, self.compat = spark, dict(tables or {}), folder, fmt, pattern, compat
 
+    def define(self, name: str, f: Callable[..., Column], returns: str = "string") -> None:
+        """Make a function of columns known to queries; its result has the type `returns`."""
+        register(name.lower())(lambda *xs: Typed(f(*[x.col for x in xs]).cast(returns), DataType.fromDDL(returns)))
+
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]

@@ -96,11 +96,11 @@ def table(df: DataFrame, colour: bool = False) -> str:
     return "\n".join(_table(df, colour))
 
 
-def context_lines(df: DataFrame) -> Iterator[str]:
+def context_lines(df: DataFrame, colour: bool = False) -> Iterator[str]:
     """Groups of neighbouring rows, `--` between them."""
     from .operators.context import GROUP
 
-    return _table(df, group=GROUP)
+    return _table(df, colour, GROUP)
 
 
 def context_table(df: DataFrame) -> str:

@@ -110,6 +110,35 @@ def test_bad_queries_are_refused(engine, query):
         engine.run(query, "s")
 
 
+def test_a_function_of_ones_own(engine):
+    from pyspark.sql import functions as F
+
+    engine.define("twice", lambda x: x * 2, "double")
+    assert rows(engine, "where twice(ms) > 1000 | summarize s=sum(twice(ms))") == [(2704.0,)]
+    engine.define("initial", lambda x: F.substring(x, 1, 1))
+    assert rows(engine, 'print x = initial("abc")') == [("a",)]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    from logweft import cli
+
+    f = tmp_path / "a.log"
+    f.write_text('{"level":"ERROR","ts":"2026-07-02T10:00:01Z","n":1}\n{"level":"INFO","ts":"2026-07-02T10:00:02Z","n":2}\n{"level":"INFO","ts":"2026-07-02T10:00:09Z","n":3}\n')
+    assert cli.main(["select n from logs where n > 1", str(f), "--lang", "kql"]) == 2
+    assert cli.main(["SELECT COUNT(*) AS c FROM logs", str(f), "--lang", "sql", "--output", "tsv"]) == 0
+    assert capsys.readouterr().out == "c\n3\n"
+    assert cli.main(["project n", str(f), "--from", "2026-07-02T10:00:02Z", "--to", "2026-07-02T10:00:09Z", "--output", "ndjson"]) == 0
+    assert capsys.readouterr().out == '{"n": 2.0}\n'
+    assert cli.main(['where level == "ERROR"', str(f), "-A", "1", "--color", "always"]) == 0
+    assert "\x1b[31mERROR" in capsys.readouterr().out
+    monkeypatch.setattr(sys, "stdin", io.StringIO("a=1\na=2\n"))
+    assert cli.main(["summarize s=sum(a)", "--output", "tsv"]) == 0
+    assert capsys.readouterr().out == "s\n3\n"
+
+
 def test_sql(engine):
     q = "SELECT service, COUNT(*) AS n, ROUND(AVG(ms), 1) AS a FROM s WHERE level <> 'INFO' GROUP BY service HAVING COUNT(*) > 1 ORDER BY a DESC"
     assert rows(engine, q, None) == [("auth", 2, 556.0), ("api", 2, 345.0)]
