@@ -55,7 +55,9 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form
 AWAY_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navi menu breadcrumb breadcrumbs pagination pager sidebar aside side footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert warning disclaimer copyright legal share sharing social comment comments disqus reply replies discussion respond related recommended teaser newsletter subscribe subscription signup login register form search popup modal overlay widget widgets tags toc skip outbrain taboola paywall".split()
 )
-#: Of these, an article's or page's own element may carry the others for its layout.
+#: Of these, what says so before any other word.
+CLEAR = frozenset("advert advertisement advertising breadcrumb breadcrumbs consent cookie cookies disqus gdpr navbar newsletter outbrain promo recommended related sidebar sponsor sponsored taboola".split())
+#: Of these, alone, what makes an article something else; its or the page's own element may carry others for its layout.
 AWAY_ON_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser".split())
 MAIN_NAMES = frozenset("article articlebody content entry main post story text".split())
 NEUTRAL = frozenset("area bar block body bottom box btn button buttons center col column container content div entry footer frame group header holder inner item items layout left li link links list main outer panel row right section site slot text title top unit wrap wrapper zone".split())
@@ -64,13 +66,14 @@ NEUTRAL = frozenset("area bar block body bottom box btn button buttons center co
 #: smoothness edges' capacities.
 BLOCK = {"base": -1.5, "length": 0.5, "sentence": 0.75, "heading": 0.5, "links": -5.0, "edge": -0.5}
 ELEMENT = {"away tag": -8.0, "away role": -8.0, "away name": -8.0, "away hint": -1.0, "hidden": -12.0, "article": 4.0, "main name": 1.5, "inside": -0.5}
-#: What a block stands in: something set apart; an article; neither, on a page that has no article. In an article no text
-#: is boilerplate by itself (see MOST).
-AWAY, MAIN, PLAIN = -1.0, 3.0, 1.5
+#: What a block stands in: something set apart; an article; neither, on a page that has no article. In an article no
+#: text is boilerplate by itself (see MOST).
+AWAY, MAIN, PLAIN = -1.0, 3.0, 2.4
 #: How far weights may leave the prior (standard deviation), and labelled pages to fit on.
 SPREAD, SAMPLE = 0.5, 500
-#: Edges: a block and its element, an element and its parent, neighbouring blocks; and the most that a block's text says.
-OWN_EDGE, UP_EDGE, NEXT_EDGE, MOST = 4.0, 2.5, 0.5, 3.0
+#: Edges: a block and its element, an element and its parent, an element and the page, neighbouring blocks; and the most
+#: that a block's text says.
+OWN_EDGE, UP_EDGE, PAGE_EDGE, NEXT_EDGE, MOST = 4.0, 2.5, 0.5, 0.5, 3.0
 #: An element that says much about itself is less like its parent: its edge falls by e for so much of a price.
 CONTRAST = 4.0
 #: Elements with features that stand one in another, as far as they are told apart.
@@ -125,13 +128,15 @@ def element_features(name: str, attrs: str, inside_article: bool, away: bool) ->
     found["article"] = float(name in ("article", "main") and not away)
     found["inside"] = float(away)
     if attrs:
-        names = AWAY_ON_ARTICLE if name in ("article", "main", "body", "html") else AWAY_NAMES
+        whole = name in ("article", "main", "body", "html")
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 heads, hints = _words(value)
-                found["away name"] = max(found["away name"], float(bool(heads & names)))
-                found["away hint"] = min(2.0, found["away hint"] + len(hints & names))
+                apart = AWAY_ON_ARTICLE & set(value.lower().split()) if whole else heads & AWAY_NAMES | hints & CLEAR
+                found["away name"] = max(found["away name"], float(bool(apart)))
+                if not whole:
+                    found["away hint"] = min(2.0, found["away hint"] + len(hints & AWAY_NAMES - apart))
                 if heads & MAIN_NAMES and not away:
                     found["main name"] = 1.0
             elif key == "role":
@@ -336,7 +341,7 @@ def graph(page: Page, weights: Weights) -> tuple[list[float], list[tuple[int, in
             edges.append((below, place[k], capacity))
             if known:
                 break
-            below, capacity, k = place[k], UP_EDGE * math.exp(-abs(scores[place[k]]) / CONTRAST), above[k]
+            below, capacity, k = place[k], (UP_EDGE if above[k] > 0 else PAGE_EDGE) * math.exp(-abs(scores[place[k]]) / CONTRAST), above[k]
     return scores, edges
 
 

@@ -108,6 +108,9 @@ def test_html_odd_pages():
     assert text("<article><p>Some <math><mi>E</mi>=mc</math> in <svg><text>a</text></svg> it.</p><object>old way</object><canvas>drawn</canvas></article>") == "Some E=mc in a it.\nold way\ndrawn"
     assert text('<article><div class="tags-intro search-results"><p>This is a paragraph of the article, with words.</p></div></article>').startswith("This is")
     assert text('<body><div id="content"><h1>A heading</h1><p>One sentence of some length stands here, and it ends.</p><p>Short.</p><p>Another sentence of some length stands here, and it ends.</p></div><div class="comment-list"><article><p>I liked it a lot, thanks. Really, so much that I can not even say.</p></article></div></body>').split("\n")[1:3] == ["One sentence of some length stands here, and it ends.", "Short."]
+    assert text("<p>a<p>b<div hidden>secret</div><noscript>no</noscript><select><option>1</select>") == "a\nb"
+    assert text("<table><tr><td><a href=1>Home</a><td><a href=2>News</a></table><p>Only one paragraph here.</p>") == "Only one paragraph here."
+    assert text('<article class="post with-sidebar has-comments"><div class="entry-content"><p>x y</p></div><section class="related-posts"><p>One story that you will like. Read it all now.</p></section></article>') == "x y"
     import time
 
     for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p>" + "<b>" * 50_000 + "<h2>x<hr>" * 50_000, "<article>" + "<p>x</p>" * 30_000, "<div>" * 20_000 + "x"):
