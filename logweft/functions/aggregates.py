@@ -91,6 +91,10 @@ def is_aggregate(name: str) -> bool:
     return name in ("count", "arg_max", "arg_min") or SAME.get(name, name) in AGGREGATES
 
 
+def is_set(call: Call) -> bool:
+    return SAME.get(call.name, call.name) == "make_set"
+
+
 def aggregate(scope: Scope, name: str, given: bool, call: Call, source: str = "") -> list[tuple[str, Column]]:
     """(name, column) of what an aggregate gives; source: its text."""
     f, args = SAME.get(call.name, call.name), call.args

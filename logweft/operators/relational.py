@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import ORD, ORDERED, aggregate, label
+from ..functions.aggregates import ORD, ORDERED, aggregate, is_set, label
 from ..functions.coerce import is_number, num, text
 from ..functions.expressions import Scope
 from ..functions.scalar import type_name
@@ -140,13 +141,32 @@ def summarize(s: State, st: Stage, engine) -> State:
     scope = Scope(df)
     keys = {key_name(i): scope.column(i.expr) for i in st.by}
     out: dict[str, Column] = {}
+    sets: dict[str, Column] = {}
     for i in st.items:
-        out |= dict(aggregate(scope, i.name, i.given, i.expr, i.name))
-    aggs = [c.alias(n) for n, c in out.items() if n not in keys]
-    grouped = df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*aggs)
+        found = dict(aggregate(scope, i.name, i.given, i.expr, i.name))
+        out |= found
+        if is_set(i.expr):
+            sets |= dict.fromkeys(found, scope.typed(i.expr.args[0]).col)
+    named = [c.alias(n) for n, c in keys.items()]
+    aggs = [c.alias(n) for n, c in out.items() if n not in keys and n not in sets]
+    rows = [F.count(F.lit(1)).alias("__rows")] if not keys or not aggs else []
+    grouped = df.groupBy(*named).agg(*aggs, *rows)
+    for k, (n, value) in enumerate((n, c) for n, c in sets.items() if n not in keys):
+        grouped = _with_set(df, named, list(keys), grouped, n, value, k)
     if not keys and engine.compat:
-        grouped = df.groupBy().agg(*aggs, F.count(F.lit(1)).alias("__rows")).filter("__rows > 0").drop("__rows")
-    return State(grouped)
+        grouped = grouped.filter("__rows > 0")
+    return State(grouped.select(*[q(n) for n in dict.fromkeys([*keys, *out])]))
+
+
+def _with_set(df: DataFrame, named: list[Column], keys: list[str], grouped: DataFrame, name: str, value: Column, k: int) -> DataFrame:
+    """grouped with the distinct values of each group, in the order in which they come first. Equal values meet before a
+    group's values do, so no group is ever gathered with its repeats."""
+    first = df.groupBy(*named, value.alias("__x")).agg(F.min(ORD).alias("__o")).filter("__x IS NOT NULL")
+    listed = F.array_sort(F.collect_list(F.struct("__o", "__x")))
+    lists = first.groupBy(*[q(n).alias(f"__k{k}_{i}") for i, n in enumerate(keys)]).agg(F.transform(listed, lambda p: p["__x"]).alias(f"__set{k}"))
+    on = reduce(lambda a, b: a & b, [q(n).eqNullSafe(F.col(f"__k{k}_{i}")) for i, n in enumerate(keys)], F.lit(True))
+    empty = F.array().cast(lists.schema[f"__set{k}"].dataType)
+    return grouped.join(lists, on, "left").withColumn(name, F.coalesce(f"__set{k}", empty)).drop(f"__set{k}", *[f"__k{k}_{i}" for i in range(len(keys))])
 
 
 @stage("getschema")

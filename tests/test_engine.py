@@ -73,6 +73,13 @@ def test_null_is_the_lowest_value(engine, query, ids):
     assert [r[0] for r in rows(engine, query + " | project id", "nulls")] == ids
 
 
+def test_sets_beside_other_aggregates(engine):
+    assert rows(engine, "summarize s=make_set(user), n=count(), t=make_set(level) by service | sort by service asc") == [("api", ["a", "c", "b"], 3, ["ERROR", "INFO"]), ("auth", ["a", "b"], 3, ["INFO", "ERROR", "WARN"])]
+    assert rows(engine, "summarize s=make_set(t) by v | sort by v asc", "nulls") == [(None, []), (-1.0, ["x"]), (5.0, [""])]
+    assert rows(engine, 'where level == "none" | summarize make_set(ms)') == [([],)]
+    assert rows(Engine(engine.spark, engine.tables, compat=True), 'where level == "none" | summarize make_set(ms)') == []
+
+
 def test_sum_of_nothing_is_zero(engine):
     assert rows(engine, 'where level == "none" | summarize sum(ms), avg(ms)') == [(0.0, None)]
     compat = Engine(engine.spark, engine.tables, compat=True)
